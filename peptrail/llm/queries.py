@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptrail.llm import bpe, gif_media, token_store
+from peptrail.llm import bpe, gif_media, html_extract, simhash, token_store, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -14,12 +14,36 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.with_scores(docs, model, "score")
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     back = token_store.token_store(docs, tokenizer_file())
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(data.where("id % 50 = 0"), data, k=5)
+
+
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -30,8 +54,27 @@ def op10_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_bit_plane_tokens, op9_gif_media, op10_bpe_speculative)}
+    return {f.__name__: f for f in (
+        op1_subword_toxicity, op2_html_blocks, op4_bit_plane_tokens, op5_simhash_multi_index, op7_dual_tree_topk,
+        op9_gif_media, op10_bpe_speculative,
+    )}
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, d.vec_id as vec_id,
+         cast(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v d on q.vec_id <> d.vec_id and len(q.e) = len(d.e) where q.vec_id % 50 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_dual_tree_topk": OP7_SQL}

@@ -51,35 +51,34 @@ def min_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) ->
         .distinct(),
         "links",
     )
-    before = None
+    # what is joined is written first: a join of two plain tables can be split where a hub is hot
     for _ in range(max_rounds):
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        both = staged(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         # large star: every larger neighbour of u, and u itself, points at the least of them
-        large = (
+        large = staged(
             both.join(low, "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionAll(low.where("u <> m").select("u", F.col("m").alias("v")))
-            .distinct()
+            .distinct(),
+            "large",
         )
         # small star: all smaller neighbours of u, and u itself, point at the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        edges = staged(
             large.join(least, "u")
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(least.select("u", F.col("m").alias("v")))
-            .distinct()
+            .distinct(),
+            "links",
         )
-        edges = staged(small, "links")
-        now = edges.agg(
-            F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        if now == before or now[0] == 0 or (now[0] == now[3] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()):
+        # done when every node points at one root and no root points anywhere
+        n, sources = edges.agg(F.count("*"), F.countDistinct("u")).first()
+        if n == sources and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     return nodes.select("id").distinct().join(
