@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptrail.llm import bpe, gif_media, html_extract, simhash, token_store, topk, toxicity
+from peptrail.llm import bpe, gif_media, html_extract, license_scan, mixing, simhash, substring, token_store, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -28,6 +28,11 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
 def op4_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     back = token_store.token_store(docs, tokenizer_file())
@@ -39,11 +44,20 @@ def op5_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk.top_k(data.where("id % 50 = 0"), data, k=5)
 
 
+def op8_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumnsRenamed({"start": "start_word", "end": "end_word", "other_start": "other_start_word", "other_end": "other_end_word"})
+
+
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -55,8 +69,8 @@ def op10_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_subword_toxicity, op2_html_blocks, op4_bit_plane_tokens, op5_simhash_multi_index, op7_dual_tree_topk,
-        op9_gif_media, op10_bpe_speculative,
+        op1_subword_toxicity, op2_html_blocks, op3_pfair_mixing, op4_bit_plane_tokens, op5_simhash_multi_index,
+        op6_license_minhash, op7_dual_tree_topk, op8_collinear_passages, op9_gif_media, op10_bpe_speculative,
     )}
 
 
