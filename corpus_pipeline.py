@@ -1,15 +1,62 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""Corpus pipeline: toxic documents go, near duplicates go, repeated passages are cut, sources are mixed, texts are encoded.
+
+Every stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which is written as Parquet and read
+again as the next stage's ``docs``. All but the last give the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peptrail.llm import bpe, mixing, simhash, substring, toxicity
+from peptrail.llm.queries import tokenizer_file
+from peptrail.llm.shared import fresh_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the toxicity threshold; labels teach the model and decide nothing else."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.with_scores(docs, model, "toxicity_score")
+    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a smaller doc_id holds; documents of which nothing stays go."""
+    return substring.cut_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in files that follow the Pfair mix of their sources."""
+    return mixing.in_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts, by document."""
+    return bpe.digests(bpe.encode_decode(docs, tokenizer_file()))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("source_mixing", mix_sources),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: trained models, fuzzy chains and merges are beyond SQL; tests compare the stages with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = fresh_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
