@@ -3,8 +3,8 @@
 A text's words are cut into windows of ``STRIDE + SHINGLE - 1`` words, ``STRIDE`` words apart, so every
 five-word shingle lies in one window and neighbouring windows share four words. A window's MinHash under
 each of ``BANDS`` permutations (one row a band) is looked up among those of the templates' windows at all
-offsets. A window of four shingles that holds a one-shingle template meets it with probability
-1 - (3/4)^24 = 0.999; a window inside a copy of a longer template equals one of its windows and always
+offsets. A window of three shingles that holds a one-shingle template meets it with probability
+1 - (2/3)^16 = 0.998; a window inside a copy of a longer template equals one of its windows and always
 meets it. Everything runs as DataFrame functions.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from peptrail.llm.shared import staged
 
 SHINGLE = 5
-STRIDE = 4
-BANDS = 24
+STRIDE = 3
+BANDS = 16
 CONTAINMENT = 0.8
 
 #: fixed values: opening or identifying sentences of public licences
@@ -50,18 +50,28 @@ def shingles_of(words: Column) -> Column:
     return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def windows_of(shingles: Column, stride: int) -> Column:
-    """Shingles of each window: four of them, fewer at a text's end."""
-    size = F.size(shingles)
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1, F.lit(stride)), lambda i: F.slice(shingles, i + 1, STRIDE)))
+def windows_of(words: Column, stride: int) -> Column:
+    """Words of each window, fewer at a text's end."""
+    last = F.size(words) - SHINGLE
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.slice(words, i + 1, STRIDE + SHINGLE - 1)))
+
 
+def with_marks(windows: DataFrame, *keep: str) -> DataFrame:
+    """A row ``mark`` for each band of each window ``w``: its least shingle hash under the band's permutation.
 
-def marks_of(window: Column) -> Column:
-    """A window's least shingle hash in each band, the band's number in the lowest five bits; a band permutes hashes by flipping bits."""
+    The band's number is in the lowest four bits; a band permutes hashes by flipping bits. Hashes are
+    columns of scalars, so that this stays compiled code.
+    """
+    w = F.col("w")
+    hashes = {
+        f"s{j}": F.when(F.size(w) >= j + SHINGLE, F.xxhash64(*[F.get(w, F.lit(j + i)) for i in range(SHINGLE)])) for j in range(STRIDE)
+    }
     flips = [((b + 1) * 0x9E3779B97F4A7C15 ^ (b * 0xD1B54A32D192ED03 >> 3)) & (2**64 - 1) for b in range(BANDS)]
-    signed = F.array(*[F.lit(f - 2**64 if f >= 2**63 else f) for f in flips])
-    least = lambda f: F.least(*[F.get(window, F.lit(j)).bitwiseXOR(f) for j in range(STRIDE)])
-    return F.transform(signed, lambda f, b: least(f).bitwiseAND(F.lit(~31)).bitwiseOR(b.cast("long")))
+    marks = [
+        F.least(*[F.col(s).bitwiseXOR(F.lit(f - 2**64 if f >= 2**63 else f)) for s in hashes]).bitwiseAND(F.lit(~15)).bitwiseOR(F.lit(b))
+        for b, f in enumerate(flips)
+    ]
+    return windows.select(*keep, *[h.alias(s) for s, h in hashes.items()]).select(*keep, F.explode(F.array(*marks)).alias("mark"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -80,18 +90,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     notices = template_table(spark, templates or TEMPLATES)
     # words and shingles are columns of their own, for each is used more than once
     notices = staged(notices.withColumn("words", words_of(F.col("notice"))).withColumn("shingles", shingles_of(F.col("words"))), "notices")
-    index = staged(
-        notices.select("license", F.explode(windows_of(F.col("shingles"), 1)).alias("w")).select("license", F.explode(marks_of(F.col("w"))).alias("mark")).distinct(),
-        "index",
-    )
-    known = sorted(r.mark for r in index.select("mark").distinct().collect())  # at most templates x windows x bands
+    index = F.broadcast(
+        staged(with_marks(notices.select("license", F.explode(windows_of(F.col("words"), 1)).alias("w")), "license").distinct(), "index")
+    )  # templates x windows x bands rows
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    shingled = texts.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", shingles_of(F.col("words")).alias("shingles"))
-    windows = shingled.select("doc_id", F.posexplode(windows_of(F.col("shingles"), STRIDE)).alias("window", "w"))
-    met = windows.select("doc_id", "window", F.filter(marks_of(F.col("w")), lambda m: m.isin(*known)).alias("marks")).where(F.size("marks") > 0)
+    windows = (
+        texts.select("doc_id", words_of(F.col("text")).alias("words"))
+        .select("doc_id", F.posexplode(windows_of(F.col("words"), STRIDE)).alias("window", "w"))
+    )
     candidates = staged(
-        met.select("doc_id", "window", F.explode("marks").alias("mark")).join(F.broadcast(index), "mark").select("doc_id", "window", "license").distinct(),
-        "licences",
+        with_marks(windows, "doc_id", "window").join(index, "mark").select("doc_id", "window", "license").distinct(), "licences"
     )
     facts = notices.select("license", F.array_distinct("shingles").alias("shingles"), F.size("words").alias("n_words"))
     asked = (
