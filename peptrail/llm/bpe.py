@@ -8,10 +8,13 @@ for all distinct pairs at once. Only words with an incompatible pair are merged
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +26,86 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACE = re.compile(f"[{WHITE_SPACE}]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: word pattern of the vocabulary file, for ASCII text
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-CACHE_ENTRIES = 400_000
+#: letters and numbers up to U+017F; below it texts are normalised (NFC) as they are, lower-casing goes by
+#: character (but for U+0130), and no Unicode version changes a character's class
+_LETTER, _NUMBER = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+_PLAIN = re.compile("[\t-\r -~\x85\xa0-\xac\xae-\u012f\u0131-\u017f]*")
+#: word pattern of the vocabulary file, for plain texts in lower case
+_WORD = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+CACHE_ENTRIES = 2_000_000
 
 
-def chunks_of(text: str) -> list[str]:
-    """White-space separated chunks; words of the tokenizer never cross white space."""
-    return text.split() if not _ODD_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
+class CachedEncoder:
+    """Ids of whole texts from the ids of their distinct words.
 
+    Words of the tokenizer never cross white space and marker strings hold none. Plain Latin texts are
+    cut into words here; of other texts, and of those with marker strings, each white-space separated
+    chunk goes to ``_odd``. The cache is bounded.
+    """
+
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        self.entries, self.words, self.chunks = entries, {}, {}
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def _odd(self, chunks: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def _parts(self, text: str | None) -> tuple[dict[str, bytes], list[str]]:
+        if not text:
+            return self.words, []
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return self.words, _WORD.findall(text.lower())
+        return self.chunks, text.split() if not _ODD_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers; a null text is empty."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # texts of about 100,000 words at a time
+            group, n = [], 0
+            while at < len(texts) and n <= 100_000:
+                group.append(self._parts(texts[at]))
+                n += len(group[-1][1])
+                at += 1
+            for known, learn in ((self.words, self._new), (self.chunks, self._odd)):
+                if len(known) > self.entries:
+                    known.clear()
+                new = list(set(chain.from_iterable(p for k, p in group if k is known)).difference(known))
+                if new:
+                    known.update(zip(new, learn(new), strict=True))
+            out += [b"".join(map(known.__getitem__, parts)) for known, parts in group]
+        return out
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the cycle collector, which else walks the caches again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
-def folded(text: str) -> str:
-    """Lower case where that cannot change a token (ASCII text without marker strings)."""
-    return text.lower() if text.isascii() and "<|" not in text else text
 
+def _byte_shown() -> dict[int, int]:
+    """Bytes as byte-level BPE shows them: visible Latin-1 characters stay, others move up from U+0100."""
+    kept = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    moved = [b for b in range(256) if b not in kept]
+    return {b: 256 + k for k, b in enumerate(moved)}
 
-class SpeculativeBpe:
+
+BYTE_SHOWN = _byte_shown()
+
+
+class SpeculativeBpe(CachedEncoder):
     """Encoder and decoder over a tokenizers JSON file with an end-of-word suffix."""
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -86,8 +150,6 @@ class SpeculativeBpe:
                 self.final[ord(t[0])] = k
         self._library = Tokenizer.from_file(path)
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._cache: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
         self.merged_words = 0
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -208,61 +270,23 @@ class SpeculativeBpe:
         self.merged_words += int(bad.sum())
         return out
 
-    def _byte_words(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isprintable():
-            return _ASCII_WORD.findall(chunk.lower())
-        shown = self._library.normalizer.normalize_str(chunk)
-        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(shown)]
-
-    def _parts(self, chunk: str) -> list[str | int]:
-        """Byte-level words, and ids of marker strings, of one chunk."""
-        if self._split is None or "<|" not in chunk:
-            return self._byte_words(chunk)
-        out: list[str | int] = []
-        for piece in self._split.split(chunk):
-            out += [self.special[piece]] if piece in self.special else self._byte_words(piece) if piece else []
-        return out
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Put the ids of chunks that are not known yet into the cache."""
-        new = [c for c in set(chunks) if c not in self._cache]
-        if not new:
-            return
-        if len(self._cache) > CACHE_ENTRIES:
-            self._cache.clear()
-        if len(self._words) > CACHE_ENTRIES:
-            self._words.clear()
-        parts = [self._parts(c) for c in new]
-        words = list({w for p in parts for w in p if isinstance(w, str) and w not in self._words})
-        self._words.update(zip(words, self.encode_words(words), strict=True))
-        known = self._words
-        for chunk, p in zip(new, parts, strict=True):
-            self._cache[chunk] = (
-                known[p[0]] if len(p) == 1 and isinstance(p[0], str)
-                else b"".join(known[w] if isinstance(w, str) else np.array([w], "<u4").tobytes() for w in p)
-            )
-
-    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian 32-bit integers; a null text is empty."""
-        out: list[bytes] = []
-        split = [chunks_of(folded(t)) if t else [] for t in texts]
-        at = 0
-        while at < len(split):  # a cache that is emptied between groups must hold all of a group
-            end, n = at, 0
-            while end < len(split) and (n == 0 or n + len(split[end]) <= 200_000):
-                n += len(split[end])
-                end += 1
-            group = split[at:end]
-            if len(self._cache) > CACHE_ENTRIES:
-                self._cache.clear()
-            self.learn(c for chunks in group for c in chunks)
-            get = self._cache
-            missing = [c for chunks in group for c in chunks if c not in get]
-            if missing:
-                self.learn(missing)
-            out += [b"".join([get[c] for c in chunks]) for chunks in group]
-            at = end
-        return out
+    def _new(self, words: list[str]) -> list[bytes]:
+        return self.encode_words([w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SHOWN) for w in words])
+
+    def _odd(self, chunks: list[str]) -> list[bytes]:
+        """Chunks as the library normalises and cuts them, with marker strings taken out first."""
+        parts = []
+        for chunk in chunks:
+            parts.append([])
+            for piece in self._split.split(chunk) if self._split and "<|" in chunk else [chunk]:
+                if piece in self.special:
+                    parts[-1].append(np.array([self.special[piece]], "<u4").tobytes())
+                elif piece:
+                    shown = self._library.normalizer.normalize_str(piece)
+                    parts[-1] += [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(shown)]
+        words = list({w for p in parts for w in p if isinstance(w, str)})
+        ids = dict(zip(words, self.encode_words(words), strict=True))
+        return [b"".join(ids[w] if isinstance(w, str) else w for w in p) for p in parts]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """Token strings joined with a space, as the library does for a file without a decoder."""
@@ -290,14 +314,15 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = bpe.encode_bytes(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode_bytes, ids), pa.binary())],
-                    [id_column, "ids", "decoded"],
-                )
+        with no_cycles():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    ids = bpe.encode_bytes(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode_bytes, ids), pa.binary())],
+                        [id_column, "ids", "decoded"],
+                    )
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, ids binary, decoded binary")

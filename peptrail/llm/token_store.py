@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptrail.llm.bpe import chunks_of, folded
+from peptrail.llm.bpe import CachedEncoder, no_cycles
 from peptrail.llm.shared import fresh_path
 
 MAGIC = b"BPS1"
@@ -140,32 +140,39 @@ class TokenFile:
         return np.concatenate(parts)
 
 
-class LibraryEncoder:
-    """Ids by the tokenizers library; each distinct white-space separated chunk is encoded once.
+class LibraryEncoder(CachedEncoder):
+    """Ids by the tokenizers library; each distinct word is encoded once.
 
-    Words never cross white space, and marker strings hold none, so the ids of a whole text are
-    those of its chunks in order.
+    New words are encoded many to a text: the last token of each word, and no other, carries the
+    end-of-word suffix. Chunks beyond plain Latin text go to the library as they are.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, group: int = 2000):
         from tokenizers import Tokenizer
 
-        self.library, self.entries, self.cache = Tokenizer.from_file(path), entries, {}
+        super().__init__()
+        self.library, self.group = Tokenizer.from_file(path), group
         self.library.no_padding()
         self.library.no_truncation()
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = chunks_of(folded(text)) if text else []
-            cache = self.cache
-            new = list({c for c in chunks if c not in cache})
-            if new:
-                if len(cache) > self.entries:
-                    cache.clear()
-                    new = list(set(chunks))
-                for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    cache[c] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([cache[c] for c in chunks])
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.array([bool(suffix) and (self.library.id_to_token(k) or "").endswith(suffix) for k in range(size)])
+
+    def _odd(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), self.group):
+            group = words[at : at + self.group]
+            ids = np.array(self.library.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) if len(ids) else ids
+            if len(last) == len(group) and last[-1] == len(ids) - 1:
+                data, cut = ids.tobytes(), ((last + 1) * 4).tolist()
+                out += [data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+            else:
+                out += self._odd(group)
+        return out
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -202,12 +209,15 @@ def write_token_files(
             )
 
         store.create_dir(root, recursive=True)
-        for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                writer.add(key, ids + tail)
-                if writer.n_ids >= file_ids:
-                    yield close()
-                    writer, seq = TokenFileWriter(byte_planes, block_ids), seq + 1
+        with no_cycles():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    for key, ids in zip(some.column(0).to_pylist(), encode.encode_bytes(some.column(1).to_pylist()), strict=True):
+                        writer.add(key, ids + tail)
+                        if writer.n_ids >= file_ids:
+                            yield close()
+                            writer, seq = TokenFileWriter(byte_planes, block_ids), seq + 1
         if writer.docs:
             yield close()
 
