@@ -62,6 +62,8 @@ LABELLED = np.array([
     (150, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1), (22, 0.0, 80, 0.0, 40, 0.0, 0, 0, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 0, 1),
     (5, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1), (7, 0.0, 3, 1.0, 80, 0.0, 0, 0, 1), (18, 0.0, 6, 0.0, 60, 0.0, 0, 0, 1),
     (3, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1), (28, 0.2, 30, 0.0, 3, 1.0, 0, 0, 1), (16, 0.0, 40, 0.0, 2, 1.0, 0, 0, 1),
+    (20, 0.0, 25, 0.0, 4, 1.0, 0, 0, 1), (14, 0.0, 40, 0.0, 5, 0.9, 0, 0, 1), (23, 0.0, 23, 0.0, 0, 0.0, 0, 0, 1), (13, 0.0, 18, 0.0, 3, 1.0, 0, 0, 1),
+    (18, 0.0, 2, 1.0, 20, 0.0, 0, 0, 1), (13, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1), (12, 0.0, 2, 1.0, 15, 0.0, 0, 0, 1),
     (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0), (6, 1.0, 4, 1.0, 50, 0.0, 0, 0, 0), (20, 0.8, 70, 0.0, 4, 1.0, 0, 0, 0),
     (40, 0.7, 6, 1.0, 12, 0.9, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (6, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0),
     (4, 0.5, 60, 0.0, 70, 0.0, 0, 0, 0), (8, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0), (9, 0.4, 3, 0.0, 2, 0.0, 0, 0, 0),
