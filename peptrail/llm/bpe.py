@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from peptrail.llm.shared import claim_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: fixed values: white space as Unicode defines it (Python's own split has four control characters more)
@@ -32,7 +34,7 @@ _LETTER, _NUMBER = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\t-\r -~\x85\xa0-\xac\xae-\u012f\u0131-\u017f]*")
 #: word pattern of the vocabulary file, for plain texts in lower case
 _WORD = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
-CACHE_ENTRIES = 2_000_000
+CACHE_ENTRIES = 1_500_000
 
 
 class CachedEncoder:
@@ -313,6 +315,7 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("bpe", _OPEN.clear)
         bpe = codec(path)
         with no_cycles():
             for batch in batches:

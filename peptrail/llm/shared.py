@@ -4,11 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim_cache(name: str, clear: Callable[[], None]) -> None:
+    """Keep an operator's cache in this Python worker and drop those of other operators.
+
+    Workers outlive stages, and the stages of a pipeline would else hold all their caches at once.
+    """
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = clear
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 

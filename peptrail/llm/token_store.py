@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peptrail.llm.bpe import CachedEncoder, no_cycles
-from peptrail.llm.shared import fresh_path
+from peptrail.llm.shared import claim_cache, fresh_path
 
 MAGIC = b"BPS1"
 BLOCK_IDS = 16_384
@@ -194,7 +194,8 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode = _ENCODERS.setdefault(tokenizer_path, LibraryEncoder(tokenizer_path))
+        claim_cache("tokens", _ENCODERS.clear)
+        encode = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, LibraryEncoder(tokenizer_path))
         store, root = fs.FileSystem.from_uri(out)
         part, seq, tail = TaskContext.get().partitionId(), 0, b"" if end_id is None else struct.pack("<I", end_id)
         writer = TokenFileWriter(byte_planes, block_ids)
