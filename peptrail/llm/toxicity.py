@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peptrail.llm.shared import claim_cache
+
 _MARKS = re.compile(r"[\W_]+")
 #: documents of each class that training takes, and the longest that it takes
 TRAIN_ROWS = 1500
@@ -59,6 +61,14 @@ class SubwordSoftmax:
         order = np.argsort(owner, kind="stable")
         return flat[order], np.bincount(owner, minlength=len(words))
 
+    def _margins(self, words: list[str], group: int = 20_000) -> np.ndarray:
+        """Margin of each word, in groups that bound memory."""
+        out = [np.empty(0)]
+        for at in range(0, len(words), group):
+            ids, count = self.bags(words[at : at + group])
+            out.append(self._mean_by(self.margin[ids], count))
+        return np.concatenate(out)
+
     @staticmethod
     def _mean_by(values: np.ndarray, count: np.ndarray) -> np.ndarray:
         total = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
@@ -66,57 +76,70 @@ class SubwordSoftmax:
         return (total[end] - total[end - count]) / np.maximum(count, 1)
 
     # -- training
-    def fit(self, texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 40) -> SubwordSoftmax:
-        """Train on documents and their labels; without both classes nothing is learnt and scores are near 0."""
+    def fit(self, texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 40, folds: int = 2) -> SubwordSoftmax:
+        """Train on documents and their labels; without both classes nothing is learnt and scores are near 0.
+
+        The calibration uses margins that models of the other folds give a document, for a model is
+        too sure of the documents that it has seen.
+        """
         toxic = np.asarray(toxic, int)
-        split = [words_of(t) for t in texts]
         if not (0 < toxic.sum() < len(toxic)):
             return self
-        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+        known: dict[str, int] = {}
+        docs = []
+        for text in texts:
+            words = words_of(text)
+            docs.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+        vocabulary = list(known)
+        del known
         if not vocabulary:
             return self
-        ids, count = self.bags(list(vocabulary))
-        end = np.cumsum(count)
-        docs = [np.fromiter((vocabulary[w] for w in ws), np.int64, len(ws)) for ws in split]
-        # start: the share of toxic against clean documents that hold an n-gram
+        # start: the share of toxic against clean documents that hold an n-gram, less where few do
         held = np.zeros((2, self.buckets))
         for words, y in zip(docs, toxic, strict=True):
-            u = np.unique(words)
-            if len(u):
-                held[y, np.unique(np.concatenate([ids[end[k] - count[k] : end[k]] for k in u]))] += 1
+            if len(words):
+                held[y, np.unique(self.bags([vocabulary[k] for k in np.unique(words)])[0])] += 1
         n = np.bincount(toxic, minlength=2)
         start = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
+        start *= held.sum(0) / (held.sum(0) + 10)
         table = self.rng.normal(0, 0.02, (self.buckets, self.dim))
         table[:, 0] = start
         head = np.zeros((self.dim, 2))
         head[0] = (-0.5, 0.5)
         bias = np.zeros(2)
-        for _ in range(rounds):
+        for turn in range(rounds):
             self.margin = (table @ (head[:, 1] - head[:, 0])).astype(np.float32)
             self.bias = float(bias[1] - bias[0])
-            word = self._mean_by(self.margin[ids], count)
+            word = self._margins(vocabulary)
             places, label = [], []
             for words, y in zip(docs, toxic, strict=True):
                 score = self._windows(word[words])
                 if not len(score):
                     continue
                 top = np.argsort(-score, kind="stable")[:4]
-                picked = [int(top[0]), *(int(k) for k in top[1:] if score[k] + self.bias > 0)] if y else [*map(int, top), *self.rng.integers(0, len(score), 2).tolist()]
-                places += [words[k : k + self.window] for k in picked]
+                picked = [int(top[0]), *(int(k) for k in top[1:] if turn and score[k] + self.bias > 0)] if y else [*map(int, top), *self.rng.integers(0, len(score), 2).tolist()]
+                places += [[vocabulary[w] for w in words[k : k + self.window]] for k in picked]
                 label += [y] * len(picked)
-            table, head, bias = self._descend(table, head, bias, places, np.array(label), ids, count, end, steps)
+            table, head, bias = self._descend(table, head, bias, places, np.array(label), steps)
         self.margin = (table @ (head[:, 1] - head[:, 0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
-        word = self._mean_by(self.margin[ids], count)
+        word = self._margins(vocabulary)
         worst = np.array([self._windows(word[w]).max(initial=-30.0) + self.bias for w in docs])
+        fold = np.arange(len(texts)) % folds
+        if folds > 1 and all(0 < toxic[fold != k].sum() < (fold != k).sum() for k in range(folds)):
+            for k in range(folds):
+                part = SubwordSoftmax(self.buckets, self.dim, self.shortest, self.longest, self.window)
+                part.fit([t for t, f in zip(texts, fold, strict=True) if f != k], toxic[fold != k], rounds, steps, 1)
+                worst[fold == k] = [part.worst(t) for t, f in zip(texts, fold, strict=True) if f == k]
         self._calibrate(worst, toxic)
         return self
 
-    def _descend(self, table, head, bias, places, label, ids, count, end, steps):
+    def _descend(self, table, head, bias, places, label, steps):
         """Adam steps over all passages for the embeddings and the softmax at once."""
-        flat = np.concatenate([np.concatenate([ids[end[k] - count[k] : end[k]] for k in p]) for p in places])
-        n = np.array([sum(count[k] for k in p) for p in places])
-        weight = np.concatenate([np.concatenate([np.full(count[k], 1 / (len(p) * max(count[k], 1))) for k in p]) for p in places])
+        flat, count = self.bags([w for p in places for w in p])
+        size = np.array([len(p) for p in places])
+        weight = np.repeat(1 / (np.repeat(size, size) * np.maximum(count, 1)), count)
+        n = np.add.reduceat(count, np.cumsum(size) - size)
         owner = np.repeat(np.arange(len(places)), n)
         used, flat = np.unique(flat, return_inverse=True)
         part, target = table[used], np.eye(2)[label]
@@ -164,22 +187,20 @@ class SubwordSoftmax:
         total = np.r_[0.0, np.cumsum(word)]
         return (total[self.window :] - total[: -self.window]) / self.window
 
-    def scores(self, texts: list[str | None], entries: int = 400_000) -> np.ndarray:
-        out = np.empty(len(texts))
-        for k, text in enumerate(texts):
-            words, known = words_of(text), self._known
-            new = list({w for w in words if w not in known})
-            if new:
-                if len(known) > entries:
-                    known.clear()
-                    new = list(set(words))
-                for at in range(0, len(new), 100_000):
-                    group = new[at : at + 100_000]
-                    ids, count = self.bags(group)
-                    known.update(zip(group, self._mean_by(self.margin[ids], count).tolist(), strict=True))
-            worst = self._windows(np.array([known[w] for w in words])).max(initial=-30.0) + self.bias
-            out[k] = 1 / (1 + np.exp(-np.clip(self.scale * worst + self.shift, -30, 30)))
-        return out
+    def worst(self, text: str | None, entries: int = 400_000) -> float:
+        """Margin of a text's most toxic passage."""
+        words, known = words_of(text), self._known
+        new = list({w for w in words if w not in known})
+        if new:
+            if len(known) > entries:
+                known.clear()
+                new = list(set(words))
+            known.update(zip(new, self._margins(new).tolist(), strict=True))
+        return float(self._windows(np.array([known[w] for w in words])).max(initial=-30.0)) + self.bias
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        margin = np.array([self.worst(t) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30)))
 
 
 def held_out(doc_id):
@@ -216,6 +237,7 @@ def with_scores(docs: DataFrame, model: SubwordSoftmax, column: str = "toxicity"
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("toxicity", sent.value._known.clear)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
