@@ -17,6 +17,7 @@ from peptrail.operators import search as se
 from peptrail.plans.fixtures import Fixtures, duckdb_views
 from peptrail.plans.study import Study
 from peptrail.settings import TIERS
+from peptrail.sinks.export import flattened, omissions
 from peptrail.sources.fasta import parse_records, peptide_problems
 
 DIGITS = 8
@@ -125,9 +126,10 @@ RELATIONS = {
     "seeds": """select peptide_id, p as part, p * (length(sequence) // 4) + least(p, length(sequence) % 4) as start,
         substr(sequence, cast(p * (length(sequence) // 4) + least(p, length(sequence) % 4) + 1 as bigint), cast(length(sequence) // 4 + (p < length(sequence) % 4)::int as bigint)) as seed
         from fx_peptides, (select unnest(range(4)) as p)""",
-    "kmers": """select protein_rep_id, spot, n, substr(sequence, spot, n) as kmer from (select protein_rep_id, sequence, unnest(range(1, length(sequence) + 1)) as spot from fx_proteins),
-        (select distinct length(seed) as n from seeds)""",
-    "proposed": """select distinct s.peptide_id, k.protein_rep_id, k.spot - s.start as place from kmers k join seeds s on k.kmer = s.seed and k.n = length(s.seed)""",
+    "kmers": """select protein_rep_id, sequence, spot, substr(sequence, spot, 3) as head
+        from (select protein_rep_id, sequence, unnest(range(1, length(sequence) - 1)) as spot from fx_proteins)""",
+    "proposed": """select distinct s.peptide_id, k.protein_rep_id, k.spot - s.start as place from kmers k join seeds s
+        on k.head = substr(s.seed, 1, 3) and substr(k.sequence, k.spot, length(s.seed)) = s.seed""",
     "windows": """select p.peptide_id, q.sequence as query_sequence, p.protein_rep_id, p.place as protein_start_1based,
         substr(r.sequence, p.place, length(q.sequence)) as matched_sequence
         from proposed p join fx_peptides q using (peptide_id) join fx_proteins r using (protein_rep_id)
@@ -295,6 +297,26 @@ _add("threshold_qc", "peptide_id:s sequence:s length:i " + _tier("median_thresho
      lambda s, f: s.thresholds)
 
 
+def _diagnostics(s: Study, f: Fixtures) -> DataFrame:
+    """Nested facts of a preparation as dotted paths."""
+    facts = {
+        "selected_species_n": s.panel.where("selected").count(),
+        "panel_coverage": s.quality_summary.where("metric = 'panel_abundance'").first().asDict(),
+        "mapped_genomes_by_source": {r.mapping_source: r.n_genomes for r in la.mapping_source_counts(s.genome_labels).collect()},
+        "tiers": list(TIERS),
+    }
+    return f.spark.createDataFrame([(k, str(v)) for k, v in flattened(facts)], "parameter string, value string")
+
+
+def _omissions(s: Study, f: Fixtures) -> DataFrame:
+    """Tables that a workbook of 100 rows a sheet would leave out."""
+    found = omissions({"Selected species QC": s.species, "Species breadth": s.breadth, "Broad carrier QC": s.thresholds}, 100)
+    return f.spark.createDataFrame(sorted(found.items()), "sheet string, rows_counted long")
+
+
+Q["flattened_diagnostics"], Q["excel_omissions"] = _diagnostics, _omissions
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(query):
         return lambda spark, folder: query(study(spark, folder), Fixtures(spark, folder))
