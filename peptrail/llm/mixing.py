@@ -21,6 +21,7 @@ BLOCK_ROWS = 64
 #: sources with a place of their own in the schedule; the rest share one place, mixed by hash
 MAX_SOURCES = 1024
 TEMPERATURE = 0.5
+PLACES = ("mix_block", "mix_slot", "mix_position")
 
 
 def shares(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -70,6 +71,7 @@ def mix(
 ) -> DataFrame:
     """All rows and columns of ``docs`` and their place in the mix: ``mix_block, mix_slot, mix_position``.
 
+    Columns of ``docs`` with these three names are replaced; other names may be anything.
     Without ``weights`` a source's target weight is its number of rows to the power ``temperature``;
     sources that ``weights`` leaves out get the least weight named. A null source is a source. Inside a
     source rows are ordered by a hash of ``key``. No row is dropped or repeated: once a source has run
@@ -78,56 +80,63 @@ def mix(
     A source's rows are numbered in buckets of about 256 rows, or the root of its rows if that is more:
     counts of buckets are summed before the rows are, so a source that holds most rows is spread.
     """
+    placed = _placed(docs, weights, source, key, block_rows, period, max_sources, temperature)
+    kept = [c for c in docs.columns if c not in PLACES]
+    return placed.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__{c}").alias(c) for c in PLACES])
+
+
+def _placed(docs, weights, source, key, block_rows, period, max_sources, temperature) -> DataFrame:
+    """``docs`` with the columns ``PLACES`` under names that begin with two underscores."""
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    counts = docs.groupBy(name.alias("mix_name")).count()
+    counts = docs.groupBy(name.alias("__mix_name")).count()
     named = {("n" if k is None else "s" + k): float(w) for k, w in (weights or {}).items()}
     weight = F.pow(F.col("count").cast("double"), F.lit(temperature))
     if named:
-        known = spark.createDataFrame(list(named.items()), "mix_name string, w double")
-        counts = counts.join(F.broadcast(known), "mix_name", "left")  # as many rows as the caller names
+        known = spark.createDataFrame(list(named.items()), "__mix_name string, w double")
+        counts = counts.join(F.broadcast(known), "__mix_name", "left")  # as many rows as the caller names
         weight = F.coalesce(F.col("w"), F.lit(min(named.values())))
-    counts = counts.select("mix_name", "count", weight.alias("w"))
-    top = counts.orderBy(F.desc("w"), "mix_name").limit(max_sources).collect()  # at most max_sources rows
+    counts = counts.select("__mix_name", "count", weight.alias("w"))
+    top = counts.orderBy(F.desc("w"), "__mix_name").limit(max_sources).collect()  # at most max_sources rows
     total = counts.agg(F.sum("w"), F.sum("count")).first()
     rest = (total[1] or 0) - sum(r["count"] for r in top)
-    groups = [(r["mix_name"], r["count"]) for r in top]
+    groups = [(r["__mix_name"], r["count"]) for r in top]
     sizes, amounts = [r["count"] for r in top], [r["w"] for r in top]
     if rest:
         sizes.append(rest)
         amounts.append(max(total[0] - math.fsum(amounts), 1e-9))
     slots = shares(amounts, period) if amounts else []
-    plan = spark.createDataFrame(schedule(slots) if slots else [], "mix_group int, turn int, slot int")
+    plan = spark.createDataFrame(schedule(slots) if slots else [], "__mix_group int, __mix_turn int, __mix_at int")
     buckets = [math.ceil(n / max(256, math.isqrt(n))) for n in sizes]
-    places = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(groups)], "mix_name string, mix_group int")
-    rows = docs.withColumn("mix_name", name).join(F.broadcast(places), "mix_name", "left")
-    rows = rows.withColumn("mix_group", F.coalesce("mix_group", F.lit(len(groups))))
-    in_group = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values or [1]]), F.col("mix_group") + 1)
-    rows = rows.withColumn("mix_hash", F.xxhash64(key)).withColumn("mix_bucket", F.pmod("mix_hash", in_group(buckets)).cast("int"))
-    before = Window.partitionBy("mix_group").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    places = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(groups)], "__mix_name string, __mix_group int")
+    rows = docs.withColumn("__mix_name", name).join(F.broadcast(places), "__mix_name", "left")
+    rows = rows.withColumn("__mix_group", F.coalesce("__mix_group", F.lit(len(groups))))
+    in_group = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values or [1]]), F.col("__mix_group") + 1)
+    rows = rows.withColumn("__mix_hash", F.xxhash64(key)).withColumn("__mix_bucket", F.pmod("__mix_hash", in_group(buckets)).cast("int"))
+    before = Window.partitionBy("__mix_group").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("mix_group", "mix_bucket").count()
-        .select("mix_group", "mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("mix_start"))
+        rows.groupBy("__mix_group", "__mix_bucket").count()
+        .select("__mix_group", "__mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_start"))
     )
-    inside = Window.partitionBy("mix_group", "mix_bucket").orderBy("mix_hash", key)
+    inside = Window.partitionBy("__mix_group", "__mix_bucket").orderBy("__mix_hash", key)
     numbered = (
-        rows.withColumn("mix_rank", F.row_number().over(inside) - 1)
-        .join(starts, ["mix_group", "mix_bucket"])
-        .withColumn("mix_ordinal", F.col("mix_start") + F.col("mix_rank"))
-        .withColumn("mix_block", F.expr(f"mix_ordinal div {block_rows}"))
-        .withColumn("turn", F.pmod("mix_block", in_group(slots)).cast("int"))
+        rows.withColumn("__mix_rank", F.row_number().over(inside) - 1)
+        .join(starts, ["__mix_group", "__mix_bucket"])
+        .withColumn("__mix_ordinal", F.col("__mix_start") + F.col("__mix_rank"))
+        .withColumn("__mix_block", F.expr(f"__mix_ordinal div {block_rows}"))
+        .withColumn("__mix_turn", F.pmod("__mix_block", in_group(slots)).cast("int"))
     )
-    placed = numbered.join(F.broadcast(plan), ["mix_group", "turn"])  # period rows
-    slot = F.expr("mix_block div 1") - F.col("turn")
+    placed = numbered.join(F.broadcast(plan), ["__mix_group", "__mix_turn"])  # period rows
+    slot = F.expr("__mix_block div 1") - F.col("__mix_turn")
     return placed.withColumn(
-        "mix_slot", (slot / in_group(slots)).cast("long") * F.lit(period) + F.col("slot")
+        "__mix_slot", (slot / in_group(slots)).cast("long") * F.lit(period) + F.col("__mix_at")
     ).withColumn(
-        "mix_position", F.col("mix_slot") * block_rows + F.pmod("mix_ordinal", F.lit(block_rows))
-    ).select(*[F.col(c) for c in docs.columns], "mix_block", "mix_slot", "mix_position")
+        "__mix_position", F.col("__mix_slot") * block_rows + F.pmod("__mix_ordinal", F.lit(block_rows))
+    ).select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_block", "__mix_slot", "__mix_position")
 
 
-def in_order(docs: DataFrame, **settings) -> DataFrame:
+def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` in the order of the mix: partitions hold ranges of positions, each sorted."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = mix(docs, **settings)
-    return placed.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    placed = _placed(docs, weights, source, key, BLOCK_ROWS, PERIOD, MAX_SOURCES, TEMPERATURE)
+    return placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])

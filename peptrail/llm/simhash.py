@@ -175,8 +175,8 @@ def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
     Rows with a null doc_id stay. Repeated rows of a kept doc_id stay once.
     """
     docs_id = F.col("doc_id").cast("long")
-    found = near_duplicates(docs, distance).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
-    kept = docs.join(found, docs_id == F.col("drop_id"), "left_anti")
+    found = near_duplicates(docs, distance).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__drop_id")).distinct()
+    kept = docs.join(found, docs_id == F.col("__drop_id"), "left_anti")
     if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

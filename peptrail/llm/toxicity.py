@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
         return SubwordSoftmax()
     picked = spark.createDataFrame(held, "label_id long, toxic int")
     texts = (
-        docs.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
+        docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
         .where(F.length("text") <= chars)
         .select("label_id", "text", "toxic")
         .collect()

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from peptrail.llm import queries
+from peptrail.llm import mixing, queries
 
 
 def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
@@ -39,3 +39,21 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
 def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, tmp_path):
+    names = "fp component id rep start end slot turn toxic mix_group mix_position drop_id cut_spans cut_mark seed label_id toxicity_score count w".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    text = "some words that are repeated here " * 12
+    full = [(1, text, "en", "a", 1, *names), (2, text, "en", "a", 1, *names), (3, "other words", None, None, None, *names), (3, "other words", None, None, None, *names), (None, None, "en", "b", 0, *names)]
+    for rows in ([], full):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert k == 4 or out.columns == docs.columns
+            got = out.collect()
+            assert bool(got) == bool(rows)
+            if rows and name in ("toxicity", "source_mixing", "bpe"):
+                assert len(got) == len(rows)
+    assert len(mixing.mix(spark.createDataFrame(full, schema)).columns) == 5 + len(names) + 2
