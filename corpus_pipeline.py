@@ -17,8 +17,8 @@ from peptrail.llm.shared import fresh_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the toxicity threshold; labels teach the model and decide nothing else."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.with_scores(docs, model, "toxicity_score")
-    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.with_scores(docs, model, "__toxicity_score")
+    return scored.where(F.col("__toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
