@@ -103,3 +103,27 @@ def test_queries_match_sql(spark, name):
 def test_tiers_are_nested(spark):
     hits = queries.study(spark, DATA).hits
     assert hits.where("exact > cons_le1 or cons_le1 > cons_le2 or cons_le2 > cons_le3 or cons_le1 > unrestricted_le1 or unrestricted_le1 > unrestricted_le2 or cons_le2 > unrestricted_le2").isEmpty()
+
+
+def test_stream_finds_what_a_batch_finds(spark, files, tmp_path):
+    from peptrail.operators.search import scan
+    from peptrail.sources.fasta import read_fasta, read_peptides
+    from peptrail.streaming.scan import protein_stream, stream_hits
+
+    (tmp_path / "in").mkdir()
+    text = (files / "proteins.faa").read_text()
+    (tmp_path / "in" / "a.faa").write_text(text)
+    peptides = read_peptides(spark, str(files / "peptides.faa"))
+    stream_hits(protein_stream(spark, str(tmp_path / "in")), peptides, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    want = scan(read_fasta(spark, str(files / "proteins.faa")).withColumnRenamed("id", "protein_rep_id"), peptides)
+    got = spark.read.schema(want.schema).parquet(str(tmp_path / "out"))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_command_line():
+    from peptrail.cli import parser
+
+    args = parser().parse_args(["summarize", "--peptides", "p", "--broad-breadth", "0.5"])
+    assert (args.command, args.broad_breadth, args.conservative_grantham_max, args.excel_max_rows) == ("summarize", 0.5, None, 200_000)
+    with pytest.raises(SystemExit):
+        parser().parse_args(["search", "--peptides", "p"])
