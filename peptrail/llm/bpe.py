@@ -34,7 +34,8 @@ _LETTER, _NUMBER = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\t-\r -~\x85\xa0-\xac\xae-\u012f\u0131-\u017f]*")
 #: word pattern of the vocabulary file, for plain texts in lower case
 _WORD = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
-CACHE_ENTRIES = 1_500_000
+_ASCII_WORD = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+")
+CACHE_ENTRIES = 2_000_000
 
 
 class CachedEncoder:
@@ -58,7 +59,7 @@ class CachedEncoder:
         if not text:
             return self.words, []
         if "<|" not in text and _PLAIN.fullmatch(text):
-            return self.words, _WORD.findall(text.lower())
+            return self.words, (_ASCII_WORD if text.isascii() else _WORD).findall(text.lower())
         return self.chunks, text.split() if not _ODD_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
