@@ -324,3 +324,26 @@ def test_chains_are_best():
 def test_without_spans():
     assert substring.without_spans("a  b c\nd e", [(1, 3), (2, 4)]) == "a   e"
     assert substring.without_spans("a b", []) == "a b" and substring.without_spans("a b", [(0, 9)]) == ""
+
+
+def covered(docs, rows, least=50):
+    """Documents' words in exact runs of an earlier document by brute force, and those that the spans leave out."""
+    first, want = {}, set()
+    for i, text in rows:
+        words = text.split()
+        for s in range(len(words) - least + 1):
+            if first.setdefault(tuple(words[s : s + least]), i) < i:
+                want |= {(i, s + j) for j in range(least)}
+    got = {(x.doc_id, j) for x in substring.passages(docs).collect() for j in range(x.start, x.end)}
+    return want, want - got
+
+
+def test_repeated_lines_are_passages(docs_of):
+    r = random.Random(5)
+    rows = []
+    for period in (1, 2, 3, 7, 13, 14):
+        line = lines(r, period)
+        for length in (120, 90, 50):
+            rows.append((len(rows), " ".join(lines(r, 30) + (line * length)[:length] + lines(r, 40))))
+    want, lost = covered(docs_of(rows), rows)
+    assert len(want) >= 6 * 140 and not lost
