@@ -347,3 +347,15 @@ def test_repeated_lines_are_passages(docs_of):
             rows.append((len(rows), " ".join(lines(r, 30) + (line * length)[:length] + lines(r, 40))))
     want, lost = covered(docs_of(rows), rows)
     assert len(want) >= 6 * 140 and not lost
+
+
+def test_a_passage_whose_pieces_came_earlier(docs_of):
+    r = random.Random(6)
+    rows = []
+    for _ in range(30):
+        passage, at = lines(r, 60), len(rows)
+        for piece in (passage[:30], passage[30:], passage, passage):
+            rows.append((len(rows), " ".join(lines(r, 40) + piece + lines(r, 40))))
+        assert len(rows) == at + 4
+    want, lost = covered(docs_of(rows), rows)
+    assert len(want) >= 30 * 60 and not lost
