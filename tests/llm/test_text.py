@@ -359,3 +359,14 @@ def test_a_passage_whose_pieces_came_earlier(docs_of):
         assert len(rows) == at + 4
     want, lost = covered(docs_of(rows), rows)
     assert len(want) >= 30 * 60 and not lost
+
+
+def test_one_seed_is_enough(docs_of):
+    r = random.Random(7)
+    rows, n = [], 120
+    for i in range(n):
+        passage = lines(r, 50)
+        changed = set(r.sample(range(2, 48), 7))
+        rows += [(i, " ".join(lines(r, 60) + passage + lines(r, 60))), (n + i, " ".join(lines(r, 60) + [f"q{j}" if j in changed else w for j, w in enumerate(passage)] + lines(r, 60)))]
+    got = {x.doc_id for x in substring.passages(docs_of(sorted(rows))).collect()}
+    assert len(got) >= 0.8 * n
