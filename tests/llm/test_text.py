@@ -370,3 +370,13 @@ def test_one_seed_is_enough(docs_of):
         rows += [(i, " ".join(lines(r, 60) + passage + lines(r, 60))), (n + i, " ".join(lines(r, 60) + [f"q{j}" if j in changed else w for j, w in enumerate(passage)] + lines(r, 60)))]
     got = {x.doc_id for x in substring.passages(docs_of(sorted(rows))).collect()}
     assert len(got) >= 0.8 * n
+
+
+def test_both_ends_of_a_rewritten_middle(docs_of):
+    r = random.Random(9)
+    left, right = lines(r, 60), lines(r, 60)
+    torn = lambda words: words[:18] + ["x1"] + words[18:38] + ["x2"] + words[38:]
+    rows = [(1, " ".join(left + lines(r, 50) + right)), (2, " ".join(torn(left) + lines(r, 50) + torn(right)))]
+    found = substring.passages(docs_of(rows)).collect()
+    words = {j for x in found for j in range(x.start, x.end)}
+    assert len(words & set(range(62))) >= 58 and len(words & set(range(112, 174))) >= 58
