@@ -35,7 +35,7 @@ select concat('pep', item_id) as peptide_id, case when item_id % 3 = 1
     then concat(substr(q, 1, 4), translate(substr(q, 5, 1), 'ILKRFYDEMV', 'LIRKYFEDVM'), substr(q, 6))
     when item_id % 3 = 2 then concat(substr(q, 1, 6), 'W', substr(q, 8)) else q end as sequence, 12 + item_id % 14 as length
 from (select item_id, substr(translate(upper(regexp_replace(text, '[^A-Za-z]', ''GLOBAL)), 'BJOUXZ', 'DLKCAE'), 11, cast(12 + item_id % 14 as int)) as q
-  from benchmark where item_id < 40) t""",
+  from benchmark) t""",
     "fx_membership": """
 select concat('P', l_orderkey % (select count(*) from documents)) as rep,
   concat('P', l_orderkey % (select count(*) from documents), chr(9), case when l_linenumber % 2 = 0

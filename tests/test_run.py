@@ -85,6 +85,12 @@ def test_exports(spark, tmp_path):
     assert next((tmp_path / "t").glob("part-*")).read_text().splitlines()[:2] == ["id\tn", "0\t"]
 
 
+def test_every_benchmark_row_is_a_peptide(spark, tmp_path):
+    rows = [(i, "Some letters of a passage that is long enough " * 3) for i in (0, 39, 40, 199)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.peptide_id for r in Fixtures(spark, str(tmp_path)).peptides.collect()} == {"pep0", "pep39", "pep40", "pep199"}
+
+
 QUICK = ["species_panel", "genome_labels", "rep_genome_pairs", "species_breadth", "sample_evaluability", "hit_classification", "substitution_strings"]
 
 
