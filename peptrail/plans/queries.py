@@ -17,7 +17,7 @@ from peptrail.operators import search as se
 from peptrail.plans.fixtures import Fixtures, duckdb_views
 from peptrail.plans.study import Study
 from peptrail.settings import TIERS
-from peptrail.sinks.export import flattened, omissions
+from peptrail.sinks.export import flattened, omitted_rows
 from peptrail.sources.fasta import parse_records, peptide_problems
 
 DIGITS = 8
@@ -309,8 +309,8 @@ def _diagnostics(s: Study, f: Fixtures) -> DataFrame:
 
 
 def _omissions(s: Study, f: Fixtures) -> DataFrame:
-    """Tables that a workbook of 100 rows a sheet would leave out."""
-    found = omissions({"Selected species QC": s.species, "Species breadth": s.breadth, "Broad carrier QC": s.thresholds}, 100)
+    """Tables that a workbook of 100 rows a sheet would leave out, and all their rows."""
+    found = omitted_rows({"Selected species QC": s.species, "Species breadth": s.breadth, "Broad carrier QC": s.thresholds}, 100)
     return f.spark.createDataFrame(sorted(found.items()), "sheet string, rows_counted long")
 
 

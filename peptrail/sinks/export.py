@@ -52,6 +52,11 @@ def omissions(tables: Mapping[str, DataFrame], most: int) -> dict[str, int]:
     return {name: n for name, n in found.items() if n > most}
 
 
+def omitted_rows(tables: Mapping[str, DataFrame], most: int) -> dict[str, int]:
+    """Tables that a workbook would not hold, and all their rows."""
+    return {name: tables[name].count() for name in omissions(tables, most)}
+
+
 def write_workbook(path: str | Path, tables: Mapping[str, DataFrame], notes: Mapping, most: int) -> dict[str, int] | None:
     """A workbook with a sheet of notes and a sheet a table; None where openpyxl is not installed.
 
@@ -63,7 +68,7 @@ def write_workbook(path: str | Path, tables: Mapping[str, DataFrame], notes: Map
         from openpyxl.cell import WriteOnlyCell
     except ImportError:
         return None
-    left_out = omissions(tables, most)
+    left_out = omitted_rows(tables, most)
     book = Workbook(write_only=True)
 
     def sheet(title: str, names: list[str], rows) -> None:
@@ -83,7 +88,7 @@ def write_workbook(path: str | Path, tables: Mapping[str, DataFrame], notes: Map
     sheet("README", ["parameter", "value"], [(k, v if isinstance(v, int | float | str) or v is None else str(v)) for k, v in flattened(notes)])
     for name, df in tables.items():
         if name in left_out:
-            sheet(name, ["note"], [(f"over {most} rows; see the full table in the run's folder",)])
+            sheet(name, ["note"], [(f"{left_out[name]} rows, over {most}; see the full table in the run's folder",)])
         else:
             sheet(name, df.columns, (tuple(r) for r in df.toLocalIterator()))
     path = Path(path)

@@ -85,6 +85,15 @@ def test_exports(spark, tmp_path):
     assert next((tmp_path / "t").glob("part-*")).read_text().splitlines()[:2] == ["id\tn", "0\t"]
 
 
+def test_omitted_rows_are_counted_whole(spark):
+    frame = spark.range(7)
+    assert export.omitted_rows({"big": frame, "small": frame.limit(2)}, 5) == {"big": 7}
+    s = queries.study(spark, DATA)
+    want = {"Selected species QC": s.species.count(), "Species breadth": s.breadth.count(), "Broad carrier QC": s.thresholds.count()}
+    got = {r.sheet: r.rows_counted for r in queries.queries()["excel_omissions"](spark, DATA).collect()}
+    assert got == {name: n for name, n in want.items() if n > 100} and max(got.values()) > 101
+
+
 def test_every_benchmark_row_is_a_peptide(spark, tmp_path):
     rows = [(i, "Some letters of a passage that is long enough " * 3) for i in (0, 39, 40, 199)]
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
