@@ -3,22 +3,24 @@
 Each source is cut into blocks of documents, and each block is a unit of work with a release time and a
 deadline that follow from the source's weight w: block j may run from slot floor(j / w) on and must run
 before slot ceil((j + 1) / w). Earliest deadline first on one processor meets all of these, so after any
-number of slots a source has had its share to within less than one block. Weights are whole shares of a
-period, so one period's schedule, a table of ``period`` rows, gives every later slot by arithmetic.
+number of slots a source has had its share to within less than one block. Weights are used as they are,
+as exact fractions, for every source; the schedule has one row a block and is made on the driver.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PERIOD = 4096
 BLOCK_ROWS = 64
-#: sources with a place of their own in the schedule; the rest share one place, mixed by hash
 MAX_SOURCES = 1024
 TEMPERATURE = 0.5
 PLACES = ("mix_block", "mix_slot", "mix_position")
@@ -65,6 +67,40 @@ def schedule(slots: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def exact_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    out = [int(w * scale) for w in exact]
+    shared = math.gcd(*out)
+    return [w // shared for w in out]
+
+
+def block_schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Earliest-deadline-first schedule of all blocks, by exact weights: ``(source, block, slot)``.
+
+    Slots of sources that have run out stay empty unless another block may run in them.
+    """
+    total = sum(weights)
+    coming = [(0, i, 0) for i, n in enumerate(blocks) if n]  # release, source, block
+    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    heapq.heapify(coming)
+    t = 0
+    while coming or ready:
+        if not ready:
+            t = max(t, coming[0][0])
+        while coming and coming[0][0] <= t:
+            _, i, j = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[i]), i, j))
+        deadline, i, j = heapq.heappop(ready)
+        if deadline <= t:
+            raise RuntimeError("a deadline was missed")
+        yield i, j, t
+        if j + 1 < blocks[i]:
+            heapq.heappush(coming, ((j + 1) * total // weights[i], i, j + 1))
+        t += 1
+
+
 def mix(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id",
     block_rows: int = BLOCK_ROWS, period: int = PERIOD, max_sources: int = MAX_SOURCES, temperature: float = TEMPERATURE,
@@ -75,17 +111,18 @@ def mix(
     Without ``weights`` a source's target weight is its number of rows to the power ``temperature``;
     sources that ``weights`` leaves out get the least weight named. A null source is a source. Inside a
     source rows are ordered by a hash of ``key``. No row is dropped or repeated: once a source has run
-    out its slots stay empty, and the others keep their proportions to each other.
+    out its slots stay empty, and the others keep their proportions to each other. ``period`` and
+    ``max_sources`` are taken for old callers and cut nothing.
 
     A source's rows are numbered in buckets of about 256 rows, or the root of its rows if that is more:
     counts of buckets are summed before the rows are, so a source that holds most rows is spread.
     """
-    placed = _placed(docs, weights, source, key, block_rows, period, max_sources, temperature)
+    placed = _placed(docs, weights, source, key, block_rows, temperature)
     kept = [c for c in docs.columns if c not in PLACES]
     return placed.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__{c}").alias(c) for c in PLACES])
 
 
-def _placed(docs, weights, source, key, block_rows, period, max_sources, temperature) -> DataFrame:
+def _placed(docs, weights, source, key, block_rows, temperature) -> DataFrame:
     """``docs`` with the columns ``PLACES`` under names that begin with two underscores."""
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
@@ -96,23 +133,13 @@ def _placed(docs, weights, source, key, block_rows, period, max_sources, tempera
         known = spark.createDataFrame(list(named.items()), "__mix_name string, w double")
         counts = counts.join(F.broadcast(known), "__mix_name", "left")  # as many rows as the caller names
         weight = F.coalesce(F.col("w"), F.lit(min(named.values())))
-    counts = counts.select("__mix_name", "count", weight.alias("w"))
-    top = counts.orderBy(F.desc("w"), "__mix_name").limit(max_sources).collect()  # at most max_sources rows
-    total = counts.agg(F.sum("w"), F.sum("count")).first()
-    rest = (total[1] or 0) - sum(r["count"] for r in top)
-    groups = [(r["__mix_name"], r["count"]) for r in top]
-    sizes, amounts = [r["count"] for r in top], [r["w"] for r in top]
-    if rest:
-        sizes.append(rest)
-        amounts.append(max(total[0] - math.fsum(amounts), 1e-9))
-    slots = shares(amounts, period) if amounts else []
-    plan = spark.createDataFrame(schedule(slots) if slots else [], "__mix_group int, __mix_turn int, __mix_at int")
+    top = counts.select("__mix_name", "count", weight.alias("w")).orderBy(F.desc("w"), "__mix_name").collect()  # a row a source
+    sizes = [r["count"] for r in top]
+    plan = _plan_table(spark, exact_weights([r["w"] for r in top]) if top else [], [-(-n // block_rows) for n in sizes])
     buckets = [math.ceil(n / max(256, math.isqrt(n))) for n in sizes]
-    places = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(groups)], "__mix_name string, __mix_group int")
-    rows = docs.withColumn("__mix_name", name).join(F.broadcast(places), "__mix_name", "left")
-    rows = rows.withColumn("__mix_group", F.coalesce("__mix_group", F.lit(len(groups))))
-    in_group = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values or [1]]), F.col("__mix_group") + 1)
-    rows = rows.withColumn("__mix_hash", F.xxhash64(key)).withColumn("__mix_bucket", F.pmod("__mix_hash", in_group(buckets)).cast("int"))
+    places = _places_table(spark, [r["__mix_name"] for r in top], buckets)
+    rows = docs.withColumn("__mix_name", name).join(places, "__mix_name")
+    rows = rows.withColumn("__mix_hash", F.xxhash64(key)).withColumn("__mix_bucket", F.pmod("__mix_hash", F.col("__mix_buckets")).cast("int"))
     before = Window.partitionBy("__mix_group").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("__mix_group", "__mix_bucket").count()
@@ -124,19 +151,26 @@ def _placed(docs, weights, source, key, block_rows, period, max_sources, tempera
         .join(starts, ["__mix_group", "__mix_bucket"])
         .withColumn("__mix_ordinal", F.col("__mix_start") + F.col("__mix_rank"))
         .withColumn("__mix_block", F.expr(f"__mix_ordinal div {block_rows}"))
-        .withColumn("__mix_turn", F.pmod("__mix_block", in_group(slots)).cast("int"))
     )
-    placed = numbered.join(F.broadcast(plan), ["__mix_group", "__mix_turn"])  # period rows
-    slot = F.expr("__mix_block div 1") - F.col("__mix_turn")
-    return placed.withColumn(
-        "__mix_slot", (slot / in_group(slots)).cast("long") * F.lit(period) + F.col("__mix_at")
-    ).withColumn(
+    return numbered.join(plan, ["__mix_group", "__mix_block"]).withColumn(
         "__mix_position", F.col("__mix_slot") * block_rows + F.pmod("__mix_ordinal", F.lit(block_rows))
     ).select(*[F.col(f"`{c}`") for c in docs.columns], "__mix_block", "__mix_slot", "__mix_position")
 
 
+def _plan_table(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
+    """``__mix_group, __mix_block, __mix_slot``, a row a block; Spark broadcasts it by its size or sorts."""
+    flat = np.fromiter((v for row in block_schedule(weights, blocks) for v in row), np.int64).reshape(-1, 3)
+    table = pa.table([flat[:, 0].astype(np.int32), flat[:, 1], flat[:, 2]], ["__mix_group", "__mix_block", "__mix_slot"])
+    return spark.createDataFrame(table)
+
+
+def _places_table(spark: SparkSession, names: list[str], buckets: list[int]) -> DataFrame:
+    """``__mix_name, __mix_group, __mix_buckets``, a row a source."""
+    return spark.createDataFrame([(name, g, n) for g, (name, n) in enumerate(zip(names, buckets, strict=True))], "__mix_name string, __mix_group int, __mix_buckets long")
+
+
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` in the order of the mix: partitions hold ranges of positions, each sorted."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _placed(docs, weights, source, key, BLOCK_ROWS, PERIOD, MAX_SOURCES, TEMPERATURE)
+    placed = _placed(docs, weights, source, key, BLOCK_ROWS, TEMPERATURE)
     return placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -200,6 +200,26 @@ def test_mix_keeps_all_rows(spark):
     assert [f.name for f in mixing.in_order(docs.limit(5)).schema] == ["doc_id", "source"]
 
 
+def test_exact_weights_stay_within_a_block():
+    weights, blocks = mixing.exact_weights([1.0, 1.0, 1.0, 0.0001]), [40_000, 40_000, 40_000, 4]
+    total, held, left = sum(weights), [0] * 4, list(blocks)
+    for i, j, t in mixing.block_schedule(weights, blocks):
+        assert j == held[i] and j * total // weights[i] <= t < -(-(j + 1) * total // weights[i])
+        held[i] += 1
+        left[i] -= 1
+    assert held == blocks
+
+
+def test_every_source_has_its_place(spark):
+    rows = [(i, f"s{i % 1500}") for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+    assert len({r.mix_position for r in got}) == len(rows)
+    # equal weights: block j of a source runs in round j
+    assert all(1500 * r.mix_block <= r.mix_slot < 1500 * (r.mix_block + 1) for r in got)
+    thirds = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30_000)], "doc_id long, source string")
+    assert all(3 * r.mix_block <= r.mix_slot < 3 * (r.mix_block + 1) for r in mixing.mix(thirds, block_rows=1).collect())
+
+
 # -- licences
 
 
