@@ -9,6 +9,7 @@ for all distinct pairs at once. Only words with an incompatible pair are merged
 from __future__ import annotations
 
 import gc
+import heapq
 import json
 import os
 import re
@@ -18,9 +19,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from peptrail.llm.shared import claim_cache
+from peptrail.llm.shared import CACHE_BYTES, WordCache, claim_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -30,12 +32,15 @@ _SPACE = re.compile(f"[{WHITE_SPACE}]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: letters and numbers up to U+017F; below it texts are normalised (NFC) as they are, lower-casing goes by
 #: character (but for U+0130), and no Unicode version changes a character's class
-_LETTER, _NUMBER = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+_LETTER, _NUMBER = re.compile("[a-zªµºÀ-ÖØ-öø-ſ]"), re.compile("[0-9²³¹¼-¾]")
 _PLAIN = re.compile("[\t-\r -~\x85\xa0-\xac\xae-\u012f\u0131-\u017f]*")
-#: word pattern of the vocabulary file, for plain texts in lower case
-_WORD = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
-_ASCII_WORD = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+")
-CACHE_ENTRIES = 2_000_000
+#: fixed values: what the vocabulary file's word pattern takes off as one word after an apostrophe
+_SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
+#: bytes of text and words that are looked up together
+PIECE_BYTES = 1 << 21
+PIECE_WORDS = 30_000
+#: symbols of a word from which on it is merged by a queue of pairs and not in rounds with other words
+LONG_WORD = 2_000
 
 
 class CachedEncoder:
@@ -43,11 +48,11 @@ class CachedEncoder:
 
     Words of the tokenizer never cross white space and marker strings hold none. Plain Latin texts are
     cut into words here; of other texts, and of those with marker strings, each white-space separated
-    chunk goes to ``_odd``. The cache is bounded.
+    chunk goes to ``_odd``. The caches are bounded in bytes.
     """
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries, self.words, self.chunks = entries, {}, {}
+    def __init__(self, most: int = CACHE_BYTES):
+        self.words, self.chunks = WordCache(most * 3 // 4), WordCache(most // 4)
 
     def _new(self, words: list[str]) -> list[bytes]:
         raise NotImplementedError
@@ -55,31 +60,121 @@ class CachedEncoder:
     def _odd(self, chunks: list[str]) -> list[bytes]:
         raise NotImplementedError
 
-    def _parts(self, text: str | None) -> tuple[dict[str, bytes], list[str]]:
-        if not text:
-            return self.words, []
-        if "<|" not in text and _PLAIN.fullmatch(text):
-            return self.words, (_ASCII_WORD if text.isascii() else _WORD).findall(text.lower())
-        return self.chunks, text.split() if not _ODD_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
-
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers; a null text is empty."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):  # texts of about 100,000 words at a time
-            group, n = [], 0
-            while at < len(texts) and n <= 100_000:
-                group.append(self._parts(texts[at]))
-                n += len(group[-1][1])
-                at += 1
-            for known, learn in ((self.words, self._new), (self.chunks, self._odd)):
-                if len(known) > self.entries:
-                    known.clear()
-                new = list(set(chain.from_iterable(p for k, p in group if k is known)).difference(known))
-                if new:
-                    known.update(zip(new, learn(new), strict=True))
-            out += [b"".join(map(known.__getitem__, parts)) for known, parts in group]
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        plain: list[tuple[int, bytes]] = []
+        odd: list[tuple[int, list[str]]] = []
+        size = n = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if "<|" not in text and _PLAIN.fullmatch(text):
+                for piece in _pieces(text.lower(), PIECE_BYTES):
+                    plain.append((i, piece.encode()))
+                    size += len(piece)
+                    if size >= PIECE_BYTES:
+                        self._encode_plain(plain, out)
+                        plain, size = [], 0
+                continue
+            parts = text.split() if not _ODD_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
+            for at in range(0, len(parts), PIECE_WORDS):
+                odd.append((i, parts[at : at + PIECE_WORDS]))
+                n += len(odd[-1][1])
+                if n >= PIECE_WORDS:
+                    self._encode_odd(odd, out)
+                    odd, n = [], 0
+        self._encode_plain(plain, out)
+        self._encode_odd(odd, out)
+        return [o[0] if len(o) == 1 else b"".join(o) for o in out]
+
+    def _encode_plain(self, group: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        words, ends = cut_words([data for _, data in group])
+        if not len(words):
+            return
+        # each distinct word of the group is looked up once, then ids are gathered word by word
+        coded = words.dictionary_encode()
+        names = _as_list(coded.dictionary)
+        known = self.words.holding(set(names), self._new)
+        values = [known[w] for w in names]
+        size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        flat, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        place = coded.indices.to_numpy()
+        count = size[place]
+        last = np.cumsum(count)
+        ids = flat[np.repeat(first[place] - last + count, count) + np.arange(last[-1])].tobytes()
+        cuts = (np.r_[0, last][ends] * 4).tolist()
+        for (i, _), a, b in zip(group, [0, *cuts], cuts, strict=False):
+            out[i].append(ids[a:b])
+
+    def _encode_odd(self, group: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        known = self.chunks.holding(set(chain.from_iterable(parts for _, parts in group)), self._odd)
+        for i, parts in group:
+            out[i].append(b"".join(map(known.__getitem__, parts)))
+
+
+def _as_list(words: pa.StringArray) -> list[str]:
+    """Words without white space as a list: joined and split, which is faster than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n")
+
+
+def _pieces(text: str, most: int) -> Iterator[str]:
+    """A text in pieces of about ``most`` characters that end at white space, where there is any."""
+    at = 0
+    while len(text) - at > most:
+        space = _SPACE.search(text, at + most)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:] if at else text
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of ASCII bytes and of the two-byte characters from U+0080 to U+017F: 0 white space, 1 letters, 2 numbers, 3 others."""
+    kind = lambda c: 0 if _SPACE.match(c) else 1 if _LETTER.match(c) else 2 if _NUMBER.match(c) else 3
+    return np.array([kind(chr(k)) if k < 128 else 0 for k in range(256)], np.uint8), np.array([kind(chr(k)) for k in range(128, 384)], np.uint8)
+
+
+def cut_words(texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+    """Words of plain texts in lower case (UTF-8) by the vocabulary file's pattern, and how many there are up to each text's end.
+
+    A word is a run of letters, a number sign, a run of other characters, or a short ending that begins
+    with an apostrophe; white space parts words and is dropped.
+    """
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    if not len(raw):
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    kind = _ASCII_CLASS[raw]
+    lead = np.flatnonzero(raw >= 0xC2)
+    if len(lead):
+        kind[lead] = kind[lead + 1] = _LATIN_CLASS[(raw[lead].astype(np.int64) - 0xC2) * 64 + raw[lead + 1] - 0x80]
+    new = np.r_[True, kind[1:] != kind[:-1]] | (kind == 2)
+    if len(lead):
+        new[lead + 1] = False
+    new &= kind > 0
+    mark = np.flatnonzero((raw == 39) & new)
+    mark = mark[(mark + 1 < len(raw)) & (kind[np.minimum(mark + 1, len(raw) - 1)] == 1)]
+    if len(mark):
+        padded = np.r_[raw, np.zeros(2, np.uint8)]
+        taken = np.zeros(len(mark), np.int64)
+        for ending in _SHORT:
+            fits = np.logical_and.reduce([padded[mark + 1 + j] == ord(c) for j, c in enumerate(ending)])
+            taken = np.where((taken == 0) & fits, len(ending), taken)
+        mark, taken = mark[taken > 0], taken[taken > 0]
+        new[mark + 1] = False
+        after = mark + 1 + taken
+        after = after[after < len(raw)]
+        new[after] |= kind[after] == 1
+    kept = kind > 0
+    data = raw[kept]
+    start = np.flatnonzero(new[kept])
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(data)].astype(np.int32)), pa.py_buffer(data))
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return words, np.searchsorted(np.flatnonzero(new), np.cumsum(size + 1) - 1)
+
+
+_ASCII_CLASS, _LATIN_CLASS = _classes()
 
 
 @contextmanager
@@ -104,6 +199,11 @@ def _byte_shown() -> dict[int, int]:
 BYTE_SHOWN = _byte_shown()
 
 
+def as_shown(word: str) -> str:
+    """A word without white space in byte-level characters."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SHOWN)
+
+
 class SpeculativeBpe(CachedEncoder):
     """Encoder and decoder over a tokenizers JSON file with an end-of-word suffix."""
 
@@ -143,6 +243,7 @@ class SpeculativeBpe(CachedEncoder):
         own[merged] = self._compatible(self.left[merged], self.right[merged], self.made[merged])
         self.known = {t: k for t, k in self.vocab.items() if own[k]}
         self.longest_inner = max(len(t) for t in self.known if not (self.suffix and t.endswith(self.suffix)))
+        self.longest = max(len(t) for t in self.known)
         # id of each single byte-level character inside a word and at its end
         self.inner = np.full(512, -1, np.int64)
         self.final = np.full(512, -1, np.int64)
@@ -189,7 +290,7 @@ class SpeculativeBpe(CachedEncoder):
     def _greedy(self, word: str) -> list[int]:
         n, at, out, known, suffix = len(word), 0, [], self.known, self.suffix
         while at < n:
-            whole = known.get(word[at:] + suffix)
+            whole = known.get(word[at:] + suffix) if n - at <= self.longest else None
             if whole is not None:
                 out.append(whole)
                 break
@@ -247,6 +348,40 @@ class SpeculativeBpe(CachedEncoder):
             before = end
         return out
 
+    def _merge_long(self, word: str) -> bytes:
+        """Exact merging of one long word: pairs wait in a heap by rank and place."""
+        code = np.frombuffer(word.encode("utf-32-le"), "<u4")
+        symbol = self.inner[np.minimum(code, 511)]
+        symbol[-1] = self.final[min(int(code[-1]), 511)]
+        symbol = symbol[symbol >= 0].tolist()
+        n, never = len(symbol), np.iinfo(np.int64).max
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        ranks = self._ranks(np.array(symbol[:-1], np.int64), np.array(symbol[1:], np.int64)) if n > 1 else np.empty(0, np.int64)
+        waiting = [(int(r), i, symbol[i], symbol[i + 1]) for i, r in enumerate(ranks.tolist()) if r != never]
+        heapq.heapify(waiting)
+        rank_of: dict[tuple[int, int], int] = {}
+
+        def wait(i: int) -> None:
+            pair = symbol[i], symbol[after[i]]
+            if pair not in rank_of:
+                rank_of[pair] = int(self._ranks(np.array([pair[0]]), np.array([pair[1]]))[0])
+            if rank_of[pair] != never:
+                heapq.heappush(waiting, (rank_of[pair], i, *pair))
+
+        while waiting:
+            rank, i, x, y = heapq.heappop(waiting)
+            j = after[i] if symbol[i] == x else -1
+            if j < 0 or symbol[j] != y:
+                continue
+            symbol[i], symbol[j] = int(self.result[rank]), -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                wait(i)
+            if before[i] >= 0:
+                wait(before[i])
+        return np.array([k for k in symbol if k >= 0], "<u4").tobytes()
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each byte-level word."""
         if not words:
@@ -268,13 +403,16 @@ class SpeculativeBpe(CachedEncoder):
         for end in ends:
             out.append(data[at:end])
             at = end
+        for k in [k for k in wrong if len(words[k]) > LONG_WORD]:
+            out[k] = self._merge_long(words[k])
+        wrong = [k for k in wrong if len(words[k]) <= LONG_WORD]
         for k, ids in zip(wrong, self._merge([words[k] for k in wrong]) if wrong else [], strict=True):
             out[k] = ids
         self.merged_words += int(bad.sum())
         return out
 
     def _new(self, words: list[str]) -> list[bytes]:
-        return self.encode_words([w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SHOWN) for w in words])
+        return self.encode_words([as_shown(w) for w in words])
 
     def _odd(self, chunks: list[str]) -> list[bytes]:
         """Chunks as the library normalises and cuts them, with marker strings taken out first."""

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptrail.llm.bpe import CachedEncoder, no_cycles
-from peptrail.llm.shared import claim_cache, fresh_path
+from peptrail.llm.bpe import CachedEncoder, as_shown, no_cycles
+from peptrail.llm.shared import claim_cache, fresh_path, frugal
 
 MAGIC = b"BPS1"
 BLOCK_IDS = 16_384
@@ -141,43 +140,67 @@ class TokenFile:
 
 
 class LibraryEncoder(CachedEncoder):
-    """Ids by the tokenizers library; each distinct word is encoded once.
+    """Ids by the tokenizers library; each distinct word of plain Latin texts goes to its BPE model once.
 
-    New words are encoded many to a text: the last token of each word, and no other, carries the
-    end-of-word suffix. Chunks beyond plain Latin text go to the library as they are.
+    Words come cut and in lower case, so the model is asked for them directly. Chunks beyond plain Latin
+    text go through the library's whole encoder.
     """
 
-    def __init__(self, path: str, group: int = 2000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.library, self.group = Tokenizer.from_file(path), group
+        self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        suffix = self.library.model.end_of_word_suffix
-        self.ends = np.array([bool(suffix) and (self.library.id_to_token(k) or "").endswith(suffix) for k in range(size)])
+        self.model = self.library.model
 
     def _odd(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _new(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), self.group):
-            group = words[at : at + self.group]
-            ids = np.array(self.library.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) if len(ids) else ids
-            if len(last) == len(group) and last[-1] == len(ids) - 1:
-                data, cut = ids.tobytes(), ((last + 1) * 4).tolist()
-                out += [data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-            else:
-                out += self._odd(group)
-        return out
+        flat: list[int] = []
+        cuts = [0]
+        cut = self.model.tokenize
+        for word in words:
+            flat += [t.id for t in cut(as_shown(word))]
+            cuts.append(4 * len(flat))
+        data = np.array(flat, "<u4").tobytes()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
+def encoded(docs: DataFrame, tokenizer_path: str, cuts: list[int], narrow: bool) -> DataFrame:
+    """``place, doc_id, mark, ids`` of ``docs(doc_id, text)``; ids take two bytes each if ``narrow``, else four.
+
+    ``place`` is the range between ``cuts`` that a doc_id falls in (null in the first). A doc_id that is
+    several cuts at once, for so many rows have it, is dealt over their ranges in the order of ``mark``.
+    """
+    edges = np.array(cuts, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("tokens", _ENCODERS.clear)
+        encode = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, LibraryEncoder(tokenizer_path))
+        with no_cycles():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    ids = encode.encode_bytes(some.column(1).to_pylist())
+                    if narrow:
+                        ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                    mark = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+                    key, none = some.column(0).fill_null(0).to_numpy(zero_copy_only=False), some.column(0).is_null().to_numpy(zero_copy_only=False)
+                    low, high = np.searchsorted(edges, key, "left"), np.searchsorted(edges, key, "right")
+                    place = np.where(none, 0, low + (mark * np.maximum(high - low, 1) >> 32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(place.astype(np.int32)), some.column(0), pa.array(mark), pa.array(ids, pa.binary())], ["place", "doc_id", "mark", "ids"]
+                    )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "place int, doc_id long, mark long, ids binary")
+
+
 def write_token_files(
     docs: DataFrame, tokenizer_path: str, out: str, end_id: int | None = 2, byte_planes: bool = True,
     partitions: int | None = None, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS,
@@ -185,19 +208,21 @@ def write_token_files(
     """Encode ``docs(doc_id, text)`` in ascending doc_id order into token files under ``out``.
 
     Returns the manifest ``(part, seq, path, n_docs, n_ids)``, kept as Parquet beside the files: a
-    retried or speculative task leaves only files that no manifest row names. Rows are dealt by ranges
-    of doc_id, so that the files in (part, seq) order hold all documents in order. Null texts are empty,
-    null keys come first, equal keys are ordered by text. A file closes after ``file_ids`` ids.
+    retried or speculative task leaves only files that no manifest row names. Texts are encoded where
+    they are read, and ids are dealt by ranges of doc_id, so that the files in (part, seq) order hold all
+    documents in order. Null texts are empty, null keys come first, equal keys are ordered by a checksum
+    of their ids, then the ids. A file closes after ``file_ids`` ids. No documents give no files.
     """
     spark = docs.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    cuts = sorted(int(x) for x in keys.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] or []) if n > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        claim_cache("tokens", _ENCODERS.clear)
-        encode = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, LibraryEncoder(tokenizer_path))
         store, root = fs.FileSystem.from_uri(out)
-        part, seq, tail = TaskContext.get().partitionId(), 0, b"" if end_id is None else struct.pack("<I", end_id)
+        part, seq, tail = -1, 0, b"" if end_id is None else struct.pack("<I", end_id)
         writer = TokenFileWriter(byte_planes, block_ids)
 
         def close() -> pa.RecordBatch:
@@ -210,24 +235,26 @@ def write_token_files(
             )
 
         store.create_dir(root, recursive=True)
-        with no_cycles():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
-                    for key, ids in zip(some.column(0).to_pylist(), encode.encode_bytes(some.column(1).to_pylist()), strict=True):
-                        writer.add(key, ids + tail)
-                        if writer.n_ids >= file_ids:
-                            yield close()
-                            writer, seq = TokenFileWriter(byte_planes, block_ids), seq + 1
+        kind = "<u2" if narrow else "<u4"
+        for batch in batches:
+            for key, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part < 0:
+                    part = batch.column(0)[0].as_py()
+                writer.add(key, np.frombuffer(ids, kind).astype("<u4").tobytes() + tail)
+                if writer.n_ids >= file_ids:
+                    yield close()
+                    writer, seq = TokenFileWriter(byte_planes, block_ids), seq + 1
         if writer.docs:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    dealt = rows.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    # equal ids always share a range, so the order by text inside a partition is an order over all
-    manifest = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, seq int, path string, n_docs long, n_ids long")
-    manifest.write.parquet(f"{out}/manifest")
-    return spark.read.parquet(f"{out}/manifest")
+    from tokenizers import Tokenizer
+
+    narrow = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16
+    dealt = encoded(docs, tokenizer_path, cuts, narrow).repartitionById(n, "place")
+    manifest = dealt.sortWithinPartitions("doc_id", "mark", "ids").select("place", "doc_id", "ids").mapInArrow(run, "part int, seq int, path string, n_docs long, n_ids long")
+    with frugal(spark):
+        manifest.write.parquet(f"{out}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{out}/manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
