@@ -4,7 +4,9 @@ Each source is cut into blocks of documents, and each block is a unit of work wi
 deadline that follow from the source's weight w: block j may run from slot floor(j / w) on and must run
 before slot ceil((j + 1) / w). Earliest deadline first on one processor meets all of these, so after any
 number of slots a source has had its share to within less than one block. Weights are used as they are,
-as exact fractions, for every source; the schedule has one row a block and is made on the driver.
+as exact fractions, for every source. The schedule is made on the driver, one row a block, so blocks grow
+with the table: a table of over ``MOST_BLOCKS`` times ``BLOCK_ROWS`` rows has blocks of more rows, and never
+more than about ``MOST_BLOCKS`` of them and one a source.
 """
 
 from __future__ import annotations
@@ -19,54 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PERIOD = 4096
 BLOCK_ROWS = 64
-MAX_SOURCES = 1024
+MOST_BLOCKS = 1 << 20
 TEMPERATURE = 0.5
 PLACES = ("mix_block", "mix_slot", "mix_position")
 
 
-def shares(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole slots of a period for each weight, at least one each, by largest remainders."""
-    if len(weights) > period:
-        raise ValueError("more sources than slots in a period")
-    total = math.fsum(weights)
-    exact = [w / total * period for w in weights]
-    out = [max(1, math.floor(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    k = 0
-    while sum(out) < period:
-        out[order[k % len(out)]] += 1
-        k += 1
-    while sum(out) > period:
-        big = max(range(len(out)), key=lambda i: (out[i] - exact[i] if out[i] > 1 else -math.inf, i))
-        out[big] -= 1
-    return out
-
-
-def schedule(slots: list[int]) -> list[tuple[int, int, int]]:
-    """Earliest-deadline-first schedule of a period: ``(source, block of the period, slot)``.
-
-    ``slots`` are each source's slots of the period; they fill it.
-    """
-    period = sum(slots)
-    coming = [(0, i, 0) for i in range(len(slots))]  # release, source, block
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
-    heapq.heapify(coming)
-    for t in range(period):
-        while coming and coming[0][0] <= t:
-            _, i, j = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[i]), i, j))
-        deadline, i, j = heapq.heappop(ready)
-        if deadline <= t:
-            raise RuntimeError("a deadline was missed")
-        out.append((i, j, t))
-        if j + 1 < slots[i]:
-            heapq.heappush(coming, ((j + 1) * period // slots[i], i, j + 1))
-    return out
-
-
 def exact_weights(weights: list[float]) -> list[int]:
     """Whole numbers in exactly the proportions of the weights."""
     exact = [Fraction(w) for w in weights]
@@ -103,30 +63,33 @@ def block_schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int,
 
 def mix(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id",
-    block_rows: int = BLOCK_ROWS, period: int = PERIOD, max_sources: int = MAX_SOURCES, temperature: float = TEMPERATURE,
+    block_rows: int = BLOCK_ROWS, temperature: float = TEMPERATURE, most_blocks: int = MOST_BLOCKS,
 ) -> DataFrame:
     """All rows and columns of ``docs`` and their place in the mix: ``mix_block, mix_slot, mix_position``.
 
     Columns of ``docs`` with these three names are replaced; other names may be anything.
     Without ``weights`` a source's target weight is its number of rows to the power ``temperature``;
     sources that ``weights`` leaves out get the least weight named. A null source is a source. Inside a
-    source rows are ordered by a hash of ``key``. No row is dropped or repeated: once a source has run
-    out its slots stay empty, and the others keep their proportions to each other. ``period`` and
-    ``max_sources`` are taken for old callers and cut nothing.
+    source rows are ordered by a hash of ``key``, then ``key``; rows of one key, null too, in any order. No
+    row is dropped or repeated: once a source has run out its slots stay empty, and the others keep their
+    proportions to each other. A block has ``block_rows`` rows, or as many more as keep the number of blocks
+    at ``most_blocks``. An empty table gives an empty one. A weight must be over 0.
 
     A source's rows are numbered in buckets of about 256 rows, or the root of its rows if that is more:
     counts of buckets are summed before the rows are, so a source that holds most rows is spread.
     """
-    placed = _placed(docs, weights, source, key, block_rows, temperature)
+    placed = _placed(docs, weights, source, key, block_rows, temperature, most_blocks)
     kept = [c for c in docs.columns if c not in PLACES]
     return placed.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__{c}").alias(c) for c in PLACES])
 
 
-def _placed(docs, weights, source, key, block_rows, temperature) -> DataFrame:
+def _placed(docs, weights, source, key, block_rows, temperature, most_blocks) -> DataFrame:
     """``docs`` with the columns ``PLACES`` under names that begin with two underscores."""
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     counts = docs.groupBy(name.alias("__mix_name")).count()
+    if any(not w > 0 for w in (weights or {}).values()):
+        raise ValueError("a weight must be over 0")
     named = {("n" if k is None else "s" + k): float(w) for k, w in (weights or {}).items()}
     weight = F.pow(F.col("count").cast("double"), F.lit(temperature))
     if named:
@@ -135,6 +98,7 @@ def _placed(docs, weights, source, key, block_rows, temperature) -> DataFrame:
         weight = F.coalesce(F.col("w"), F.lit(min(named.values())))
     top = counts.select("__mix_name", "count", weight.alias("w")).orderBy(F.desc("w"), "__mix_name").collect()  # a row a source
     sizes = [r["count"] for r in top]
+    block_rows = max(block_rows, -(-sum(sizes) // most_blocks))
     plan = _plan_table(spark, exact_weights([r["w"] for r in top]) if top else [], [-(-n // block_rows) for n in sizes])
     buckets = [math.ceil(n / max(256, math.isqrt(n))) for n in sizes]
     places = _places_table(spark, [r["__mix_name"] for r in top], buckets)
@@ -172,5 +136,5 @@ def _places_table(spark: SparkSession, names: list[str], buckets: list[int]) ->
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` in the order of the mix: partitions hold ranges of positions, each sorted."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _placed(docs, weights, source, key, BLOCK_ROWS, TEMPERATURE)
+    placed = _placed(docs, weights, source, key, BLOCK_ROWS, TEMPERATURE, MOST_BLOCKS)
     return placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
