@@ -13,15 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peptrail.llm.license_texts import FULL_TEXTS
 from peptrail.llm.shared import staged
 
 SHINGLE = 5
 STRIDE = 3
 BANDS = 16
 CONTAINMENT = 0.8
+#: bytes that a candidate takes at most in a broadcast table, and that such a table may take
+ASKED_BYTES, BROADCAST_BYTES = 128, 32 << 20
 
-#: fixed values: opening or identifying sentences of public licences
-TEMPLATES = {
+#: fixed values: opening or identifying sentences of public licences, beside their full texts
+TEMPLATES = FULL_TEXTS | {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -82,44 +85,49 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     """``doc_id, license, containment, first_word, n_places``: one row for each document and notice that it holds.
 
     A notice is held where a stretch of text around a matching window has at least the share
-    ``containment`` of the notice's shingles. Null ids keep their rows; null, empty and short texts have
-    none. Templates are a small table of the caller's; rows of one doc_id are scanned each and reported
-    together.
+    ``containment`` of the notice's shingles; places are windows with such a stretch. Null, empty and
+    short texts hold none. Rows of one doc_id, and those of a null one, are scanned each and reported
+    together; equal rows count once. An empty table gives no rows. Templates are the caller's; one of
+    fewer than five words is never held.
     """
     spark = docs.sparkSession
     notices = template_table(spark, templates or TEMPLATES)
     # words and shingles are columns of their own, for each is used more than once
-    notices = staged(notices.withColumn("words", words_of(F.col("notice"))).withColumn("shingles", shingles_of(F.col("words"))), "notices")
-    index = F.broadcast(
-        staged(with_marks(notices.select("license", F.explode(windows_of(F.col("words"), 1)).alias("w")), "license").distinct(), "index")
-    )  # templates x windows x bands rows
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    notices = staged(notices.withColumn("words", words_of(F.col("notice"))).withColumn("shingles", shingles_of(F.col("words"))), "notices", narrow=True)
+    # templates x windows x bands rows; Spark broadcasts them if their size allows
+    index = staged(with_marks(notices.select("license", F.explode(windows_of(F.col("words"), 1)).alias("w")), "license").distinct(), "index", narrow=True)
+    # a text is known by its digest: null and repeated ids need no care until the end
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text", F.md5("text").alias("digest"))
     windows = (
-        texts.select("doc_id", words_of(F.col("text")).alias("words"))
-        .select("doc_id", F.posexplode(windows_of(F.col("words"), STRIDE)).alias("window", "w"))
+        texts.select("digest", words_of(F.col("text")).alias("words"))
+        .select("digest", F.posexplode(windows_of(F.col("words"), STRIDE)).alias("window", "w"))
     )
     candidates = staged(
-        with_marks(windows, "doc_id", "window").join(index, "mark").select("doc_id", "window", "license").distinct(), "licences"
+        with_marks(windows, "digest", "window").join(index, "mark").select("digest", "window", "license").distinct(), "licences", narrow=True
     )
     facts = notices.select("license", F.array_distinct("shingles").alias("shingles"), F.size("words").alias("n_words"))
-    asked = (
-        candidates.join(F.broadcast(facts), "license")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("license", "window", "n_words")).alias("asked"))
+    asked = staged(
+        candidates.join(facts, "license").groupBy("digest").agg(F.collect_list(F.struct("license", "window", "n_words")).alias("asked")), "asked", narrow=True
     )
+    n = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+    if n * ASKED_BYTES <= BROADCAST_BYTES:  # counted: then no text is moved; else Spark sorts or filters by a Bloom filter
+        asked = F.broadcast(asked)
     # the stretch: a notice's length before the window and after its first word
     near = lambda a: F.slice(F.col("all_words"), F.greatest(F.lit(1), a.window * STRIDE + 1 - a.n_words), 2 * a.n_words + STRIDE + SHINGLE)
     stretches = (
-        texts.join(asked, "doc_id")
-        .select("doc_id", "asked", words_of(F.col("text")).alias("all_words"))
-        .select("doc_id", F.explode(F.transform("asked", lambda a: F.struct(a.license.alias("license"), a.window.alias("window"), near(a).alias("near")))).alias("a"))
-        .select("doc_id", "a.license", "a.window", F.array_distinct(shingles_of(F.col("a.near"))).alias("held"))
+        texts.join(asked, "digest")
+        .select("doc_id", "digest", "asked", words_of(F.col("text")).alias("all_words"))
+        .select("doc_id", "digest", F.explode(F.transform("asked", lambda a: F.struct(a.license.alias("license"), a.window.alias("window"), near(a).alias("near")))).alias("a"))
+        .select("doc_id", "digest", "a.license", "a.window", F.array_distinct(shingles_of(F.col("a.near"))).alias("held"))
     )
-    judged = stretches.join(F.broadcast(facts), "license").select(
-        "doc_id", "license", "window", (F.size(F.array_intersect("held", "shingles")) / F.size("shingles")).alias("share")
+    judged = stretches.join(facts, "license").select(
+        "doc_id", "digest", "license", "window", (F.size(F.array_intersect("held", "shingles")) / F.size("shingles")).alias("share")
     )
     return (
         judged.where(F.col("share") >= containment)
         .groupBy("doc_id", "license")
-        .agg(F.round(F.max("share"), 6).alias("containment"), (F.min("window") * STRIDE).alias("first_word"), F.count("*").alias("n_places"))
+        .agg(
+            F.round(F.max("share"), 6).alias("containment"), (F.min("window") * STRIDE).alias("first_word"),
+            F.count_distinct("digest", "window").alias("n_places"),
+        )
     )
