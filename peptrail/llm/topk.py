@@ -1,8 +1,10 @@
 """Exact top-k by inner product: dual-tree search over cover trees of queries and of data.
 
 Every (query block, data block) pair is one group. In it both sides are indexed by a cover tree, and a
-pair of nodes is left out once even its covering radii cannot lift a score to the worst k-th score of
-the node's queries. Blocks bound a group's memory; no block keeps over k rows a query.
+pair of nodes is left out once neither its covering radii nor the angles they span can lift a score to
+the worst k-th score of the node's queries. Each query starts with the k-th score that it has among a few
+thousand rows of the data, so a block prunes by what other blocks hold. Blocks bound a group's memory; no
+block gives over k rows a query, and none under that first k-th score.
 """
 
 from __future__ import annotations
@@ -15,18 +17,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peptrail.llm.shared import staged
+
 LEAF = 64
 DATA_BLOCK = 32_768
 QUERY_BLOCK = 16_384
+#: rows of the data, picked by a hash, among which each query's first k-th score is sought
+FIRST_ROWS = 4096
 
 
 @dataclass
 class Node:
-    """A cover-tree node: its centre is a point, all its points lie within ``radius`` of it."""
+    """A cover-tree node: its centre is a point, all its points lie within ``radius`` and ``angle`` of it and have at most ``longest`` as norm."""
 
     centre: np.ndarray
     norm: float
     radius: float
+    angle: float
+    longest: float
     points: np.ndarray
     children: list[Node] = field(default_factory=list)
 
@@ -43,7 +51,11 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, base: float = 1.
         centre = int(points[0])
     gap = np.sqrt(((x[points] - x[centre]) ** 2).sum(1))
     radius = float(gap.max())
-    node = Node(x[centre], float(np.sqrt((x[centre] ** 2).sum())), radius, points)
+    norms = np.sqrt((x[points] ** 2).sum(1))
+    norm = float(np.sqrt((x[centre] ** 2).sum()))
+    # a null vector has no direction: with one the angle says nothing
+    angle = float(np.arccos(np.clip((x[points] @ x[centre]) / (norms * norm), -1, 1)).max()) if norm and norms.all() else np.pi
+    node = Node(x[centre], norm, radius, angle, float(norms.max()), points)
     if len(points) <= LEAF or radius == 0:
         return node
     picked, owner = [centre], np.zeros(len(points), int)
@@ -63,9 +75,12 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, base: float = 1.
 
 
 class DualSearch:
-    """Best ``k`` data ids for each query; scores are integers, ties go to the smaller id."""
+    """Best ``k`` data ids for each query; scores are integers, ties go to the smaller id.
+
+    ``floor`` holds scores under which nothing is sought, by query.
+    """
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.k, self.query_ids = k, query_ids
         self.q = queries.astype(np.float64)
         order = np.argsort(data_ids, kind="stable")
@@ -81,7 +96,7 @@ class DualSearch:
         self.exact = biggest * biggest * self.q.shape[1] < 2**52
         self.wide = (queries.astype(object), distinct.astype(object)) if not self.exact else None
         self.best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
-        self.kth = np.full(len(query_ids), -np.inf)
+        self.kth = np.full(len(query_ids), -np.inf) if floor is None else floor.astype(np.float64)
         self.base_cases = 0
 
     def run(self) -> list[list[tuple[int, int]]]:
@@ -91,7 +106,14 @@ class DualSearch:
 
     def _bound(self, q: Node, d: Node) -> float:
         """No query of q and vector of d have a larger inner product."""
-        return float(q.centre @ d.centre) + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius
+        middle = float(q.centre @ d.centre)
+        by_radius = middle + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius
+        if not (q.norm and d.norm):
+            return by_radius
+        between = math.acos(max(-1.0, min(1.0, middle / (q.norm * d.norm)))) - q.angle - d.angle
+        lengths = q.longest * d.longest
+        # a negative cosine is worst for the shortest vectors, which may be of any length
+        return min(by_radius, max(0.0, lengths * (math.cos(max(0.0, between)) + 1e-6)))
 
     def _hopeless(self, bound: float, q: Node) -> bool:
         slack = 0.5 if self.exact else abs(bound) * 1e-9 + 0.5
@@ -129,7 +151,7 @@ class DualSearch:
             found.sort()
             self.best[q] = found[: self.k]
             if len(found) >= self.k:
-                self.kth[q] = -self.best[q][-1][0]
+                self.kth[q] = max(self.kth[q], -self.best[q][-1][0])
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", scale: int = 256) -> DataFrame:
@@ -141,29 +163,47 @@ def quantised(vectors: DataFrame, id_column: str = "vec_id", column: str = "embe
     )
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = 5, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(
+    queries: DataFrame, data: DataFrame, k: int = 5, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK, first_rows: int = FIRST_ROWS
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries(id, v)`` the ``k`` best rows of ``data(id, v)``.
 
     A row's own id is no candidate, vectors of another length take no part for it, rows with one id
     count each. Both sides are dealt over blocks by a hash, so one vector that is repeated endlessly is
-    spread, and equal vectors meet as one point of a block's tree. Fewer candidates give fewer rows.
+    spread, and equal vectors meet as one point of a block's tree. Fewer candidates give fewer rows; no
+    queries or no data give none.
     """
     spark = data.sparkSession
     n, nq = data.count(), queries.count()
     blocks = max(math.ceil(n / data_block), min(math.ceil(n / 1024), 2 * spark.sparkContext.defaultParallelism), 1)
     groups = max(math.ceil(nq / query_block), 1)
+    queries = queries.select("id", "v", F.lit(None).cast("long").alias("floor"))
+    if blocks > 1:
+        some = data.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, n // first_rows))) == 0)
+        first = _searched(queries, some, 1, groups, k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("found"))
+        # a query with k scores among some of the data has a k-th best of at least the least of them
+        first = staged(first.where(F.col("found") == k).select(F.col("query_id").alias("id"), "floor"), "floors", narrow=True)
+        queries = queries.drop("floor").join(first, "id", "left").select("id", "v", "floor")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    found = _searched(queries, data, blocks, groups, k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(queries: DataFrame, data: DataFrame, blocks: int, groups: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the best of each data block for each query, from its ``floor`` on."""
     own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = queries.select("id", "v", F.size("v").alias("dim"), spread(blocks).alias("db"), own(groups).alias("qb"))
-    right = data.select("id", "v", F.size("v").alias("dim"), own(blocks).alias("db"), spread(groups).alias("qb"))
+    left = queries.select("id", "v", "floor", F.size("v").alias("dim"), spread(blocks).alias("db"), own(groups).alias("qb"))
+    # named anew: columns of one table on both sides of a cogroup are mixed up
+    right = data.select(F.col("id").alias("id"), F.col("v").alias("v"), F.size("v").alias("dim"), own(blocks).alias("db"), spread(groups).alias("qb"))
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
-        found = DualSearch(np.stack(q.v), q.id.to_numpy(), np.stack(d.v), d.id.to_numpy(), k).run()
+        # a floor is rounded down when it becomes a double: 2^53 and more lose bits
+        floor = np.array([-np.inf if pd.isna(f) else np.nextafter(float(f), -np.inf) for f in q.floor])
+        found = DualSearch(np.stack(q.v), q.id.to_numpy(), np.stack(d.v), d.id.to_numpy(), k, floor).run()
         rows = [(i, vec, -score) for i, best in zip(q.id.tolist(), found, strict=True) for score, vec in best]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(np.int64)
 
-    found = left.groupBy("dim", "db", "qb").cogroup(right.groupBy("dim", "db", "qb")).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("dim", "db", "qb").cogroup(right.groupBy("dim", "db", "qb")).applyInPandas(search, "query_id long, vec_id long, score long")
