@@ -1,8 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the average of the embeddings of its character n-grams (hashed into buckets), a passage the
-average of its words, and a linear softmax gives the passage's class; embeddings and softmax are
-trained together in numpy. Labels are known for documents only, and a toxic document is mostly plain
+average of its words (one or three), and a linear softmax gives the passage's class; embeddings and softmax are
+trained together in numpy, from a start that says which n-grams toxic documents hold more often. Labels are known for documents only, and a toxic document is mostly plain
 text, so training picks each toxic document's most toxic passages and each clean document's hardest
 ones, and a document scores as its worst passage, calibrated on whole documents.
 """
@@ -17,13 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptrail.llm.shared import claim_cache
+from peptrail.llm.shared import WordCache, claim_cache, text_groups
 
 _MARKS = re.compile(r"[\W_]+")
 #: documents of each class that training takes, and the longest that it takes
 TRAIN_ROWS = 1500
 TRAIN_CHARS = 65_536
 THRESHOLD = 0.7
+#: words of a passage: training takes the length that judges unseen documents best
+PASSAGES = (1, 3)
+#: words of a text that are scored together
+PIECE_WORDS = 20_000
+
+
+def _weight(values: list[float]) -> int:
+    return 24 * len(values)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -31,12 +39,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 class SubwordSoftmax:
-    def __init__(self, buckets: int = 1 << 17, dim: int = 8, shortest: int = 3, longest: int = 6, window: int = 1, seed: int = 7):
-        self.buckets, self.dim, self.shortest, self.longest, self.window = buckets, dim, shortest, longest, window
-        self.rng = np.random.default_rng(seed)
+    def __init__(self, buckets: int = 1 << 17, dim: int = 8, shortest: int = 3, longest: int = 6, window: int = 0, seed: int = 7):
+        self.buckets, self.dim, self.shortest, self.longest = buckets, dim, shortest, longest
+        self.lengths = (window,) if window else PASSAGES
+        self.window = self.lengths[-1]
+        self.seed, self.rounds = seed, 0
         self.margin = np.zeros(buckets, np.float32)
         self.bias, self.scale, self.shift = 0.0, 1.0, -30.0  # untrained: nothing is toxic
-        self._known: dict[str, float] = {}
+        self._known = WordCache(weigh=_weight)
 
     # -- features
     def bags(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,24 +86,53 @@ class SubwordSoftmax:
         return (total[end] - total[end - count]) / np.maximum(count, 1)
 
     # -- training
-    def fit(self, texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 40, folds: int = 2) -> SubwordSoftmax:
+    def fit(self, texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 40, folds: int = 2) -> SubwordSoftmax:
         """Train on documents and their labels; without both classes nothing is learnt and scores are near 0.
 
-        The calibration uses margins that models of the other folds give a document, for a model is
-        too sure of the documents that it has seen.
+        Models of the other folds judge each document, for a model is too sure of those that it has seen: the
+        passage length and number of rounds (0: the start) with the least loss on them are taken, and their
+        margins calibrate.
         """
         toxic = np.asarray(toxic, int)
         if not (0 < toxic.sum() < len(toxic)):
             return self
+        fold = np.arange(len(texts)) % folds
+        if folds > 1 and all(0 < toxic[fold != k].sum() < (fold != k).sum() for k in range(folds)):
+            tried = []
+            for self.window in self.lengths:
+                worst = np.empty((rounds + 1, len(texts)))
+                for k in range(folds):
+                    held = [t for t, f in zip(texts, fold, strict=True) if f == k]
+                    for turn, margins in enumerate(self._rounds([t for t, f in zip(texts, fold, strict=True) if f != k], toxic[fold != k], rounds, steps)):
+                        worst[turn, fold == k] = self._judging(*margins, held)
+                tried += [(self._calibrate(w, toxic), self.window, turn, w) for turn, w in enumerate(worst)]
+            _, self.window, rounds, worst = min(tried, key=lambda t: t[0])
+            for self.margin, self.bias in self._rounds(texts, toxic, rounds, steps):
+                pass
+        else:
+            for self.margin, self.bias in self._rounds(texts, toxic, rounds, steps):
+                pass
+            worst = self._judging(self.margin, self.bias, texts)
+        self.rounds = rounds
+        self._calibrate(worst, toxic)
+        return self
+
+    def _judging(self, margin: np.ndarray, bias: float, texts: list[str]) -> np.ndarray:
+        """Margins of the worst passages of texts under a model of such margins."""
+        judge = SubwordSoftmax(self.buckets, self.dim, self.shortest, self.longest, self.window)
+        judge.margin, judge.bias = margin, bias
+        return np.array([judge.worst(t) for t in texts])
+
+    def _rounds(self, texts: list[str], toxic: np.ndarray, rounds: int, steps: int) -> Iterator[tuple[np.ndarray, float]]:
+        """Margins of the n-grams and the bias after the start and after each round of descent."""
+        rng = np.random.default_rng(self.seed)
         known: dict[str, int] = {}
         docs = []
         for text in texts:
             words = words_of(text)
             docs.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
-        vocabulary = list(known)
+        vocabulary = list(known) or [""]
         del known
-        if not vocabulary:
-            return self
         # start: the share of toxic against clean documents that hold an n-gram, less where few do
         held = np.zeros((2, self.buckets))
         for words, y in zip(docs, toxic, strict=True):
@@ -102,37 +141,30 @@ class SubwordSoftmax:
         n = np.bincount(toxic, minlength=2)
         start = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
         start *= held.sum(0) / (held.sum(0) + 10)
-        table = self.rng.normal(0, 0.02, (self.buckets, self.dim))
+        table = rng.normal(0, 0.02, (self.buckets, self.dim))
         table[:, 0] = start
         head = np.zeros((self.dim, 2))
         head[0] = (-0.5, 0.5)
         bias = np.zeros(2)
-        for turn in range(rounds):
-            self.margin = (table @ (head[:, 1] - head[:, 0])).astype(np.float32)
-            self.bias = float(bias[1] - bias[0])
-            word = self._margins(vocabulary)
+        mine = SubwordSoftmax(self.buckets, self.dim, self.shortest, self.longest, self.window)
+        for turn in range(rounds + 1):
+            mine.margin, mine.bias = (table @ (head[:, 1] - head[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+            yield mine.margin, mine.bias
+            if turn == rounds:
+                return
+            word = mine._margins(vocabulary)
             places, label = [], []
             for words, y in zip(docs, toxic, strict=True):
                 score = self._windows(word[words])
                 if not len(score):
                     continue
                 top = np.argsort(-score, kind="stable")[:4]
-                picked = [int(top[0]), *(int(k) for k in top[1:] if turn and score[k] + self.bias > 0)] if y else [*map(int, top), *self.rng.integers(0, len(score), 2).tolist()]
+                picked = [int(top[0]), *(int(k) for k in top[1:] if turn and score[k] + mine.bias > 0)] if y else [*map(int, top), *rng.integers(0, len(score), 2).tolist()]
                 places += [[vocabulary[w] for w in words[k : k + self.window]] for k in picked]
                 label += [y] * len(picked)
+            if not 0 < sum(label) < len(label):
+                continue
             table, head, bias = self._descend(table, head, bias, places, np.array(label), steps)
-        self.margin = (table @ (head[:, 1] - head[:, 0])).astype(np.float32)
-        self.bias = float(bias[1] - bias[0])
-        word = self._margins(vocabulary)
-        worst = np.array([self._windows(word[w]).max(initial=-30.0) + self.bias for w in docs])
-        fold = np.arange(len(texts)) % folds
-        if folds > 1 and all(0 < toxic[fold != k].sum() < (fold != k).sum() for k in range(folds)):
-            for k in range(folds):
-                part = SubwordSoftmax(self.buckets, self.dim, self.shortest, self.longest, self.window)
-                part.fit([t for t, f in zip(texts, fold, strict=True) if f != k], toxic[fold != k], rounds, steps, 1)
-                worst[fold == k] = [part.worst(t) for t, f in zip(texts, fold, strict=True) if f == k]
-        self._calibrate(worst, toxic)
-        return self
 
     def _descend(self, table, head, bias, places, label, steps):
         """Adam steps over all passages for the embeddings and the softmax at once."""
@@ -168,8 +200,8 @@ class SubwordSoftmax:
         table[used] = part
         return table, head, bias
 
-    def _calibrate(self, worst: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic fit of the label on the worst passage's margin (Newton steps, classes weighted alike, ridge)."""
+    def _calibrate(self, worst: np.ndarray, toxic: np.ndarray) -> float:
+        """Logistic fit of the label on the worst passage's margin (Newton steps, classes weighted alike, ridge); its mean loss."""
         x = np.stack([worst, np.ones_like(worst)], 1)
         n = np.bincount(toxic, minlength=2)
         weight, beta = (len(toxic) / (2 * n))[toxic], np.array([0.5, 0.0])
@@ -179,6 +211,8 @@ class SubwordSoftmax:
             curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
             beta = beta - np.linalg.solve(curve, slope)
         self.scale, self.shift = float(max(beta[0], 1e-3)), float(beta[1])
+        z = np.clip(x @ beta, -30, 30) * (1 - 2 * toxic)
+        return float(np.mean(weight * np.log1p(np.exp(z))))
 
     # -- scoring
     def _windows(self, word: np.ndarray) -> np.ndarray:
@@ -187,16 +221,15 @@ class SubwordSoftmax:
         total = np.r_[0.0, np.cumsum(word)]
         return (total[self.window :] - total[: -self.window]) / self.window
 
-    def worst(self, text: str | None, entries: int = 400_000) -> float:
+    def worst(self, text: str | None) -> float:
         """Margin of a text's most toxic passage."""
-        words, known = words_of(text), self._known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > entries:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._margins(new).tolist(), strict=True))
-        return float(self._windows(np.array([known[w] for w in words])).max(initial=-30.0)) + self.bias
+        best = -30.0
+        words = words_of(text)
+        for at in range(0, len(words), PIECE_WORDS):  # pieces overlap by a passage less a word
+            some = words[max(0, at - self.window + 1) : at + PIECE_WORDS]
+            known = self._known.holding(set(some), lambda new: self._margins(new).tolist())
+            best = max(best, float(self._windows(np.array([known[w] for w in some])).max(initial=-30.0)))
+        return best + self.bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         margin = np.array([self.worst(t) for t in texts])
@@ -232,15 +265,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 def with_scores(docs: DataFrame, model: SubwordSoftmax, column: str = "toxicity") -> DataFrame:
     """All rows and columns of ``docs`` and the score of ``text``; the model goes out once for each executor.
 
-    Null and empty texts get the score of a text without words. No shuffle.
+    Null and empty texts get the score of a text without words; repeated and null ids keep their rows,
+    equal texts score alike, an empty table stays empty; a column of docs named ``column`` is an error.
+    No shuffle.
     """
+    if column in docs.columns:
+        raise ValueError(f"the table has a column {column} already")
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_cache("toxicity", sent.value._known.clear)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for part in text_groups(batch, at):
                 score = pa.array(sent.value.scores(part.column(at).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, score], [*part.schema.names, column])
 
