@@ -85,8 +85,7 @@ def included_samples(shares: DataFrame, projects: DataFrame, fractions: DataFram
 
 def species_stats(shares: DataFrame, samples: DataFrame) -> DataFrame:
     """Abundance, prevalence and projects by species; samples without a species count as 0 in its mean."""
-    n = samples.count()
-    there = F.col("abundance") > 0
+    n, there = F.col("__samples"), F.col("abundance") > 0
     return (
         shares.join(samples.select("sample_name", "bioproject_id"), "sample_name")
         .groupBy(F.col("species").alias("species_key"))
@@ -96,6 +95,7 @@ def species_stats(shares: DataFrame, samples: DataFrame) -> DataFrame:
             F.count_distinct(F.when(there, F.col("sample_name"))).alias("n_samples"),
             F.count_distinct(F.when(there & (F.col("bioproject_id") != ""), F.col("bioproject_id"))).alias("n_bioprojects_detected"),
         )
+        .crossJoin(samples.agg(F.count("*").alias("__samples")))  # one row
         .select(
             "species_key", "abundance_sum", "max_abundance", (F.col("abundance_sum") / n).alias("mean_abundance"),
             (F.col("n_samples") / n).alias("prevalence_any"), "n_bioprojects_detected",
@@ -113,5 +113,15 @@ def select_panel(stats: DataFrame, target: float) -> DataFrame:
     return stats.withColumn("cumulative_mean_abundance", F.sum("mean_abundance").over(order)).withColumn("selected", before < target)
 
 
+def abundance_matrix(shares: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame:
+    """Included samples by panel species, wide, 0 where a sample has none of a species; for exports.
+
+    The names of the panel's species, some hundreds, become columns.
+    """
+    names = [r.species_key for r in panel.where("selected").orderBy("species_key").select("species_key").collect()]
+    wide = shares.groupBy("sample_name").pivot("species", names).agg(F.sum("abundance"))
+    return samples.select("sample_name").join(wide, "sample_name", "left").fillna(0.0)
+
+
 def check_host(host: DataFrame) -> None:
     require_unique(host, ["genome_id"], "the host taxonomy")

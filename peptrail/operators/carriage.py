@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peptrail.checks import require_none
@@ -34,44 +34,49 @@ def inventory_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def _tokens(line):
-    fields = F.split(line, "\t")
-    tokens = F.filter(F.flatten(F.transform(fields, lambda f: F.split(F.trim(f), "[,; ]+"))), lambda t: t != "")
-    heads = F.filter(F.transform(fields, lambda f: F.regexp_extract(f, r"^\s*(\S+)", 1)), lambda t: t.rlike("[,;]"))
-    return tokens, heads
+def _keyed(lines: DataFrame) -> DataFrame:
+    return lines.where(F.trim("line") != "").select(F.md5("line").alias("line_id"), "line")
+
+
+def _tokens(line: Column) -> Column:
+    """Pieces of a line between tabs, commas, semicolons and blanks."""
+    return F.filter(F.flatten(F.transform(F.split(line, "\t"), lambda f: F.split(F.trim(f), "[,; ]+"))), lambda t: t != "")
+
+
+def _heads(line: Column) -> Column:
+    """First words of fields that hold a separator."""
+    return F.filter(F.transform(F.split(line, "\t"), lambda f: F.regexp_extract(f, r"^\s*(\S+)", 1)), lambda t: t.rlike("[,;]"))
 
 
 def representative_lines(lines: DataFrame, representatives: DataFrame) -> DataFrame:
-    """``protein_rep_id, aliases``: lines that name a wanted representative, with the identifiers of all their tokens.
+    """``protein_rep_id, line_id``: which lines name which wanted representatives.
 
     A token must equal the representative; only on lines without such a token may a field's first word,
-    separators included, be one.
+    separators included, be one. Only a line's key goes with its tokens, so a line of any length is
+    taken apart in linear space; equal lines have one key.
     """
-    filled = lines.where(F.trim("line") != "").select("line").distinct()
-    tokens, heads = _tokens(F.col("line"))
-    cut = filled.select("line", tokens.alias("tokens"), heads.alias("heads"))
-    known = F.array_distinct(F.filter(F.transform("tokens", genome_alias), lambda a: a.isNotNull()))
-    named = cut.select(
-        "line", known.alias("aliases"),
-        F.explode(F.array_union(
-            F.transform("tokens", lambda t: F.struct(t.alias("name"), F.lit(1).alias("whole"))),
-            F.transform("heads", lambda t: F.struct(t.alias("name"), F.lit(0).alias("whole"))),
-        )).alias("n"),
-    ).select("line", "aliases", F.col("n.name").alias("protein_rep_id"), F.col("n.whole").alias("whole"))
+    whole = lambda names, mark: F.transform(names, lambda t: F.struct(t.alias("protein_rep_id"), F.lit(mark).alias("whole")))
+    line = F.col("line")
+    named = _keyed(lines).select("line_id", F.inline(F.concat(whole(_tokens(line), 1), whole(_heads(line), 0))))
     met = named.join(representatives.select("protein_rep_id").distinct(), "protein_rep_id", "left_semi")
-    best = F.max("whole").over(Window.partitionBy("line"))
-    return met.withColumn("best", best).where("whole = best").select("protein_rep_id", "aliases").distinct()
+    best = F.max("whole").over(Window.partitionBy("line_id"))
+    return met.withColumn("best", best).where("whole = best").select("protein_rep_id", "line_id").distinct()
 
 
 def rep_genome_pairs(lines: DataFrame, representatives: DataFrame, aliases: DataFrame, genomes: DataFrame) -> DataFrame:
-    """``protein_rep_id, genome_id``: wanted representatives with the selected genomes of their lines."""
-    own = F.array(genome_alias(F.col("protein_rep_id")))
-    every = F.filter(F.concat("aliases", own), lambda a: a.isNotNull())
-    named = representative_lines(lines, representatives).select("protein_rep_id", F.explode(every).alias("alias")).distinct()
+    """``protein_rep_id, genome_id``: wanted representatives with the selected genomes of their lines.
+
+    Identifiers are taken from lines that name a representative, and made genomes, before they meet it.
+    """
+    wanted = representative_lines(lines, representatives)
+    chosen = genomes.select("genome_id")
+    found = lambda named: resolved(named, aliases).join(chosen, "genome_id", "left_semi")
+    known = F.array_distinct(F.filter(F.transform(_tokens(F.col("line")), genome_alias), lambda a: a.isNotNull()))
+    on_lines = _keyed(lines).join(wanted.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.explode(known).alias("alias")).distinct()
+    own = wanted.select("protein_rep_id", genome_alias(F.col("protein_rep_id")).alias("alias")).where("alias is not null").distinct()
     return (
-        resolved(named, aliases).where("genome_id is not null").select("protein_rep_id", "genome_id").distinct()
-        .join(genomes.select("genome_id"), "genome_id", "left_semi")
-        .select("protein_rep_id", "genome_id")
+        wanted.join(found(on_lines).select("line_id", "genome_id").distinct(), "line_id").select("protein_rep_id", "genome_id")
+        .unionByName(found(own).select("protein_rep_id", "genome_id")).distinct()
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,10 @@ from peptrail.operators import search as se
 from peptrail.plans.fixtures import Fixtures, duckdb_views
 from peptrail.plans.study import Study
 from peptrail.settings import TIERS
-from peptrail.sinks.export import flattened, omitted_rows
-from peptrail.sources.fasta import parse_records, peptide_problems
+from peptrail.plans.stages import shared_folder
+from peptrail.sinks.export import leaves, listed, omitted_rows
+from peptrail.sources import tables
+from peptrail.sources.fasta import parse_records, peptide_problems, read_fasta
 
 DIGITS = 8
 
@@ -298,14 +301,15 @@ _add("threshold_qc", "peptide_id:s sequence:s length:i " + _tier("median_thresho
 
 
 def _diagnostics(s: Study, f: Fixtures) -> DataFrame:
-    """Nested facts of a preparation as dotted paths."""
+    """Nested facts of a preparation as dotted paths, numbers and texts apart."""
     facts = {
         "selected_species_n": s.panel.where("selected").count(),
         "panel_coverage": s.quality_summary.where("metric = 'panel_abundance'").first().asDict(),
         "mapped_genomes_by_source": {r.mapping_source: r.n_genomes for r in la.mapping_source_counts(s.genome_labels).collect()},
         "tiers": list(TIERS),
     }
-    return f.spark.createDataFrame([(k, str(v)) for k, v in flattened(facts)], "parameter string, value string")
+    rows = [(".".join(path), float(v) if isinstance(v, int | float) else None, listed({"v": v})[0][1] if not isinstance(v, int | float) else None) for path, v in leaves(facts)]
+    return f.spark.createDataFrame(rows, "parameter string, number double, text string")
 
 
 def _omissions(s: Study, f: Fixtures) -> DataFrame:
@@ -314,7 +318,62 @@ def _omissions(s: Study, f: Fixtures) -> DataFrame:
     return f.spark.createDataFrame(sorted(found.items()), "sheet string, rows_counted long")
 
 
-Q["flattened_diagnostics"], Q["excel_omissions"] = _diagnostics, _omissions
+_STATISTICS = {"mean": "avg({c})", "median": "median({c})", "p05": "quantile_cont({c}, 0.05)", "min": "min({c})", "max": "max({c})"}
+_add("flattened_diagnostics", "parameter:s number:d text:s", "(" + " union all ".join([
+    "select 'selected_species_n' as parameter, cast(count(*) as double) as number, cast(null as varchar) as text from panel where selected",
+    "select 'panel_coverage.metric', null, 'panel_abundance'",
+    *[f"select 'panel_coverage.{n}', {v.format(c='panel_abundance')}, null from quality" for n, v in _STATISTICS.items()],
+    "select concat('mapped_genomes_by_source.', mapping_source), cast(count(*) as double), null from genomes group by mapping_source",
+    "select 'tiers', null, '[" + ", ".join(f'"{t}"' for t in TIERS) + "]'",
+]) + ")", _diagnostics)
+_add("excel_omissions", "sheet:s rows_counted:i", "(select * from (" + " union all ".join(
+    f"select '{title}' as sheet, count(*) as rows_counted from {relation}" for title, relation in (("Selected species QC", "species"), ("Species breadth", "breadth"), ("Broad carrier QC", "fx_peptides"))
+) + ") where rows_counted > 100)", _omissions)
+_add("search_counts", "ambiguous_windows:i hits:i hit_representatives:i proteins:i residues:i", """(select (select count(*) from ambiguous) as ambiguous_windows, (select count(*) from hits) as hits,
+     (select count(distinct protein_rep_id) from hits) as hit_representatives, (select count(*) from fx_proteins) as proteins, (select coalesce(sum(length(sequence)), 0) from fx_proteins) as residues)""",
+     lambda s, f: se.search_counts(s.scanned, f.proteins))
+
+
+def _melted(s: Study, f: Fixtures) -> DataFrame:
+    """The wide matrix of samples by panel species, made long again."""
+    wide = s.abundance_matrix()
+    return wide.unpivot("sample_name", [F.col(f"`{c}`") for c in wide.columns[1:]], "species_key", "abundance")
+
+
+_add("abundance_matrix", "sample_name:s species_key:s abundance:d", """(select i.sample_name, p.species_key, coalesce(s.abundance, 0) as abundance from included i cross join panel p
+     left join shares s on s.sample_name = i.sample_name and s.species = p.species_key where selected)""", _melted)
+
+
+def _as_file(df: DataFrame, name: str, **options: str) -> str:
+    """A table as tab-separated files in the shared folder, to be read as an input is."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(sep="\t", header=True, emptyValue="", **options).csv(path)
+    return path
+
+
+def _as_fasta(df: DataFrame, name: str) -> str:
+    """Packed FASTA files with wrapped and indented lines."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    record = F.concat(F.lit(" >"), "protein_rep_id", F.lit(" of a test\n "), F.lower(F.substring("sequence", 1, 70)), F.lit("\n\n"), F.expr("substring(sequence, 71)"), F.lit("*"))
+    df.select(record).write.option("compression", "gzip").text(path)
+    return path
+
+
+_add("abundance_file", "sample_name:s sample_type:s genome_type:s genome:s relative_abundance:d", "fx_abundance",
+     lambda s, f: tables.read_abundance(f.spark, _as_file(f.abundance, "abundance", compression="gzip")))
+_add("sample_file", "sample_name:s bioproject_id:s", "(select sample_name, nullif(bioproject_id, '') as bioproject_id from fx_samples)", lambda s, f: tables.read_samples(f.spark, _as_file(f.samples, "samples")))
+_add("host_file", "genome_id:s data_source:s lineage_gtdb_r207_updated:s", "fx_host", lambda s, f: tables.read_host(f.spark, _as_file(f.host, "host")))
+_add("metadata_file", "genome_id:s species_rep:s completeness:d contamination:d original_genome_id:s", "fx_uhgg", lambda s, f: tables.read_metadata(f.spark, _as_file(f.genomes.select(
+    F.col("genome_id").alias("MGYG accession"), F.col("species_rep").alias("Species rep."), F.col("completeness").alias("Completeness"),
+    F.col("contamination").alias("CONTAMINATION"), F.col("original_genome_id").alias("original accession")), "metadata"))[0])
+_add("membership_file", "line:s", "(select line from fx_membership)", lambda s, f: tables.read_membership(f.spark, _as_lines(f.membership.select("line"))))
+_add("fasta_file", "id:s sequence:s", "(select protein_rep_id as id, sequence from fx_proteins)", lambda s, f: read_fasta(f.spark, _as_fasta(f.proteins, "proteins"), partitions=8))
+
+
+def _as_lines(df: DataFrame) -> str:
+    path = f"{shared_folder(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from peptrail.checks import require
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (local runs) a temporary folder is made and set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """``spark.checkpoint.dir``; only a local session that names none gets a temporary folder, on a cluster it is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="peptrail-"))
-        named = spark.sparkContext.getCheckpointDir()
+        require(context.master.startswith("local") and not context.master.startswith("local-cluster"), "set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="peptrail-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 

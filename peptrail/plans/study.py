@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from peptrail.operators import abundance as ab
 from peptrail.operators import carriage as ca
@@ -153,7 +152,4 @@ class Study:
         return co.threshold_qc(self.peptides, self.coverage, self.breadth)
 
     def abundance_matrix(self) -> DataFrame:
-        """Samples by panel species, wide; for exports only."""
-        names = [r.species_key for r in self.panel.where("selected").select("species_key").orderBy("species_key").collect()]
-        wide = self.shares.groupBy("sample_name").pivot("species", names).agg(F.sum("abundance"))
-        return self.included.select("sample_name").join(wide, "sample_name", "left").fillna(0.0)
+        return ab.abundance_matrix(self.shares, self.included, self.panel)

@@ -1,4 +1,4 @@
-"""FASTA files as DataFrames, split-safe: a record starts at a '>' in the first column."""
+"""FASTA files as DataFrames, split-safe: a record starts at a line whose first sign is '>'."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from peptrail.checks import require, require_none, require_unique
 from peptrail.functions.aminoacids import RESIDUES
 from peptrail.settings import Settings
+from peptrail.sinks.folders import find, first_character
 
 
 def _sequence(body: Column, protein: bool) -> Column:
@@ -28,12 +29,16 @@ def parse_records(raw: DataFrame, column: str = "value", protein: bool = True) -
 
 
 def read_fasta(spark: SparkSession, path: str, protein: bool = True, partitions: int | None = None) -> DataFrame:
-    """Records of one file, a folder or a pattern; ``.gz`` is read by one task a file and dealt out again.
+    """Records of one file, a folder or a pattern; ``.gz`` is read by one task a file, and dealt out to ``partitions``.
 
-    A file must begin with its first header, and headers must start in the first column. A header
-    without an id is an error when the records are used.
+    A header may be indented. A file whose first text is no header is an error at once; a header
+    without an id is one when the records are used.
     """
+    for file in find(spark, path):
+        require(first_character(spark, file.uri) in (">", ""), f"{file.uri} has text before its first header")
     raw = spark.read.option("lineSep", "\n>").text(path)
+    # headers that are indented are not cut off by the line separator
+    raw = raw.select(F.explode(F.split("value", "\n\\s*>")).alias("value"))
     records = parse_records(raw.where(F.col("value").rlike(r"\S")), protein=protein)
     checked = records.withColumn(
         "id", F.when(F.col("id") == "", F.raise_error(F.lit("a FASTA header has no id")).cast("string")).otherwise(F.col("id"))

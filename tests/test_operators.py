@@ -197,6 +197,15 @@ def test_membership_lines(spark):
     assert rows(ca.membership_inventory(genomes, lines, aliases)) == [("MGYG000000001", True), ("MGYG000000002.1", True)]
 
 
+def test_a_membership_line_of_many_tokens(spark):
+    tokens = ", ".join(f"r{i}" for i in range(50_000)) + ";" + " ".join(f"MGYG{i:09d}_{i}" for i in range(50_000))
+    lines = spark.createDataFrame([(tokens,), ("r7\tMGYG000000003",)], "line string")
+    genomes = spark.createDataFrame([(f"MGYG{i:09d}", "C", "", 95.0, 1.0) for i in range(40)], GENOMES)
+    reps = spark.createDataFrame([("r7",), ("r49999",), ("no",)], "protein_rep_id string")
+    got = rows(ca.rep_genome_pairs(lines, reps, la.alias_map(genomes), genomes))
+    assert got == sorted(((r, f"MGYG{i:09d}") for r in ("r7", "r49999") for i in range(40)), key=repr)
+
+
 # -- coverage
 
 

@@ -33,6 +33,18 @@ def test_fasta_is_split_safe(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_indented_headers_and_prefaces(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("\n  >p1\nAC\n \t>p2 x\n D E\n\n>p3\n>p4\nF")
+    assert sorted(rows(fasta.read_fasta(spark, str(tmp_path / "a.fa")))) == [("p1", "AC"), ("p2", "DE"), ("p3", ""), ("p4", "F")]
+    (tmp_path / "b.fa").write_text("ACDE\n>p1\nAC\n")
+    with pytest.raises(DataError, match="before its first header"):
+        fasta.read_fasta(spark, str(tmp_path / "*.fa"))
+    with gzip.open(tmp_path / "c.fa.gz", "wt") as f:
+        f.write("\n" * 9000 + "x")
+    with pytest.raises(DataError, match="before its first header"):
+        fasta.read_fasta(spark, str(tmp_path / "c.fa.gz"))
+
+
 def test_header_without_id_is_an_error(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">p1\nAC\n>\nDE\n")
     with pytest.raises(Exception, match="no id"):
@@ -59,6 +71,15 @@ def test_host_from_table_and_zip(spark, tmp_path):
     for name in ("h.tsv", "h.zip"):
         got = tables.read_host(spark, str(tmp_path / name)).select("genome_id", "data_source", "lineage_gtdb_r207_updated")
         assert sorted(rows(got)) == want
+    with zipfile.ZipFile(tmp_path / "q.zip", "w") as z:  # a cell with a tab in quotes, a row equal to the header, a short row, an empty line
+        z.writestr("h.tsv", 'genome_id\tnote\tdata_source\tlineage_gtdb_r207_updated\n1\t"a\tb ""c"""\tUHGG\tx\ngenome_id\tnote\tdata_source\tlineage_gtdb_r207_updated\n\n3\n')
+    got = tables.read_host(spark, str(tmp_path / "q.zip"))
+    assert sorted(rows(got), key=str) == [("1", "UHGG", "x"), ("3", None, None), ("genome_id", "data_source", "lineage_gtdb_r207_updated")]
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("a.tsv", text)
+        z.writestr("b.tsv", text)
+    with pytest.raises(DataError, match="one .tsv"):
+        tables.read_host(spark, str(tmp_path / "two.zip"))
     (tmp_path / "bad.tsv").write_text("genome_id\n1\n")
     with pytest.raises(DataError, match="lacks"):
         tables.read_host(spark, str(tmp_path / "bad.tsv"))
@@ -74,7 +95,10 @@ def test_metadata_columns_are_found(spark, tmp_path):
     got, found = tables.read_metadata(spark, str(tmp_path / "m.tsv"))
     assert found["original_genome_id"] == "Original_name"
     assert sorted(rows(got)) == [("g1", "r", 90.0, None, "GUT_GENOME000001"), ("g2", "nan", None, 1.0, "nan")]
-    assert tables.find_column(["a_species_rep", "b species rep"], ["x"], ["species.*rep"]) is None
+    best = lambda columns, field: next((c.column for c in tables.claims(columns, *tables.METADATA_COLUMNS[field])), None)
+    assert best(["a_species_rep", "b species rep"], "species_rep") is None and best(["my species rep"], "species_rep") == "my species rep"
+    assert best(["x", "MGYG accession", "Genome"], "genome_id") == "Genome" and best(["Original.ID", "original  name"], "original_genome_id") == "original  name"
+    assert best(["Genome", "genome"], "genome_id") == "genome" and best(["original a name", "original b name"], "original_genome_id") is None
 
 
 def test_settings_ranges():
