@@ -119,15 +119,15 @@ def frugal(spark: SparkSession) -> Iterator[None]:
 def staged(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Partitions are sized for texts. A ``narrow`` table, a few numbers a document, takes a sixteenth as many
-    files, but at least one a core.
+    Shuffle partitions are sized for sorting texts; a file takes four of them, of a ``narrow`` table, a few
+    numbers a document, sixteen, as long as every core has one.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    if narrow:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    cores, partitions = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.coalesce(max(cores, partitions // 16) if narrow else max(2 * cores, partitions // 4))
     with frugal(spark):
-        df.write.parquet(path)
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
