@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from peptrail.checks import require_none
 from peptrail.functions.text import all_aliases, genome_alias, share
 from peptrail.operators.labels import resolved
+from peptrail.plans.stages import staged
 from peptrail.settings import TIERS, Settings
 
 
@@ -40,12 +41,13 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 def _tokens(line: Column) -> Column:
     """Pieces of a line between tabs, commas, semicolons and blanks."""
-    return F.filter(F.flatten(F.transform(F.split(line, "\t"), lambda f: F.split(F.trim(f), "[,; ]+"))), lambda t: t != "")
+    return F.filter(F.split(line, "[\t,; ]+"), lambda t: t != "")
 
 
 def _heads(line: Column) -> Column:
     """First words of fields that hold a separator."""
-    return F.filter(F.transform(F.split(line, "\t"), lambda f: F.regexp_extract(f, r"^\s*(\S+)", 1)), lambda t: t.rlike("[,;]"))
+    firsts = F.filter(F.transform(F.split(line, "\t"), lambda f: F.regexp_extract(f, r"^\s*(\S+)", 1)), lambda t: t.rlike("[,;]"))
+    return F.when(line.rlike("[,;]"), firsts).otherwise(F.array().cast("array<string>"))
 
 
 def representative_lines(lines: DataFrame, representatives: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def rep_genome_pairs(lines: DataFrame, representatives: DataFrame, aliases: Data
 
     Identifiers are taken from lines that name a representative, and made genomes, before they meet it.
     """
-    wanted = representative_lines(lines, representatives)
+    wanted = staged(representative_lines(lines, representatives), "named_lines")
     chosen = genomes.select("genome_id")
     found = lambda named: resolved(named, aliases).join(chosen, "genome_id", "left_semi")
     known = F.array_distinct(F.filter(F.transform(_tokens(F.col("line")), genome_alias), lambda a: a.isNotNull()))

@@ -28,18 +28,23 @@ def parse_records(raw: DataFrame, column: str = "value", protein: bool = True) -
     return raw.select(F.regexp_extract(header, r"^\s*(\S+)", 1).alias("id"), _sequence(body, protein).alias("sequence"))
 
 
+def cut_records(raw: DataFrame) -> DataFrame:
+    """Raw records of text read with the line separator line feed and '>': cut at indented headers too, empty ones left out."""
+    return raw.select(F.explode(F.split("value", "\n\\s*>")).alias("value")).where(F.col("value").rlike(r"\S"))
+
+
 def read_fasta(spark: SparkSession, path: str, protein: bool = True, partitions: int | None = None) -> DataFrame:
-    """Records of one file, a folder or a pattern; ``.gz`` is read by one task a file, and dealt out to ``partitions``.
+    """Records of one file, a folder or a pattern; packed files are read by one task each, then dealt out again.
 
     A header may be indented. A file whose first text is no header is an error at once; a header
     without an id is one when the records are used.
     """
-    for file in find(spark, path):
+    files = find(spark, path)
+    if partitions is None and any(f.name.endswith((".gz", ".bz2", ".zst")) for f in files):
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for file in files:
         require(first_character(spark, file.uri) in (">", ""), f"{file.uri} has text before its first header")
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    # headers that are indented are not cut off by the line separator
-    raw = raw.select(F.explode(F.split("value", "\n\\s*>")).alias("value"))
-    records = parse_records(raw.where(F.col("value").rlike(r"\S")), protein=protein)
+    records = parse_records(cut_records(spark.read.option("lineSep", "\n>").text(path)), protein=protein)
     checked = records.withColumn(
         "id", F.when(F.col("id") == "", F.raise_error(F.lit("a FASTA header has no id")).cast("string")).otherwise(F.col("id"))
     )

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from peptrail.operators.search import scan
-from peptrail.sources.fasta import parse_records
+from peptrail.sources.fasta import cut_records, parse_records
 
 
 def protein_stream(spark: SparkSession, folder: str, files_a_batch: int = 64) -> DataFrame:
     """``protein_rep_id, sequence`` of FASTA files as they arrive in a folder."""
     raw = spark.readStream.option("lineSep", "\n>").option("maxFilesPerTrigger", files_a_batch).text(folder)
-    return parse_records(raw.where(F.col("value").rlike(r"\S"))).withColumnRenamed("id", "protein_rep_id")
+    return parse_records(cut_records(raw)).withColumnRenamed("id", "protein_rep_id")
 
 
 def stream_hits(proteins: DataFrame, peptides: DataFrame, out: str, checkpoint: str, cutoff: int = 50) -> StreamingQuery:
