@@ -71,15 +71,13 @@ def rep_genome_pairs(lines: DataFrame, representatives: DataFrame, aliases: Data
     Identifiers are taken from lines that name a representative, and made genomes, before they meet it.
     """
     wanted = staged(representative_lines(lines, representatives), "named_lines")
-    chosen = genomes.select("genome_id")
-    found = lambda named: resolved(named, aliases).join(chosen, "genome_id", "left_semi")
     known = F.array_distinct(F.filter(F.transform(_tokens(F.col("line")), genome_alias), lambda a: a.isNotNull()))
-    on_lines = _keyed(lines).join(wanted.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.explode(known).alias("alias")).distinct()
-    own = wanted.select("protein_rep_id", genome_alias(F.col("protein_rep_id")).alias("alias")).where("alias is not null").distinct()
-    return (
-        wanted.join(found(on_lines).select("line_id", "genome_id").distinct(), "line_id").select("protein_rep_id", "genome_id")
-        .unionByName(found(own).select("protein_rep_id", "genome_id")).distinct()
-    )
+    on_lines = _keyed(lines).join(wanted.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.explode(known).alias("alias"))
+    # a representative's own name may hold an identifier: it is a line of its own
+    own = wanted.select("protein_rep_id", F.concat(F.lit("own "), "protein_rep_id").alias("line_id")).distinct()
+    named = on_lines.unionByName(own.select("line_id", genome_alias(F.col("protein_rep_id")).alias("alias")).where("alias is not null"))
+    found = resolved(named, aliases).join(genomes.select("genome_id"), "genome_id", "left_semi").select("line_id", "genome_id").distinct()
+    return wanted.unionByName(own).join(found, "line_id").select("protein_rep_id", "genome_id").distinct()
 
 
 def missing_representatives(lines: DataFrame, representatives: DataFrame) -> DataFrame:

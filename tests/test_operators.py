@@ -190,6 +190,9 @@ def test_membership_lines(spark):
     reps = spark.createDataFrame([("repA",), ("repB",), ("rep,C",), ("lost",)], "protein_rep_id string")
     got = rows(ca.rep_genome_pairs(lines, reps, aliases, genomes))
     assert got == sorted([("repA", "MGYG000000001"), ("repA", "MGYG000000002.1"), ("repB", "MGYG000000002.1"), ("rep,C", "MGYG000000001")], key=repr)
+    named = spark.createDataFrame([("MGYG000000002_7",)], "protein_rep_id string")  # its own name holds an identifier
+    told = lines.unionAll(spark.createDataFrame([("MGYG000000002_7\tMGYG000000001_1",)], "line string"))
+    assert rows(ca.rep_genome_pairs(told, named, aliases, genomes)) == [("MGYG000000002_7", "MGYG000000001"), ("MGYG000000002_7", "MGYG000000002.1")]
     assert rows(ca.missing_representatives(lines, reps)) == [("lost",)]
     with pytest.raises(DataError):
         ca.check_representatives(lines, reps)
