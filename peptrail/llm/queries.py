@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptrail.llm import bpe, gif_media, html_extract, license_scan, mixing, simhash, substring, token_store, topk, toxicity
+from peptrail.llm import bpe, fill_middle, gif_media, html_extract, license_scan, mixing, packing, simhash, substring, token_store, topk, toxicity
 
 
 def tokenizer_file() -> str:
@@ -67,10 +67,24 @@ def op10_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, tokenizer_file()))
 
 
+def op11_streaming_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_swap_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_subword_toxicity, op2_html_blocks, op3_pfair_mixing, op4_bit_plane_tokens, op5_simhash_multi_index,
         op6_license_minhash, op7_dual_tree_topk, op8_collinear_passages, op9_gif_media, op10_bpe_speculative,
+        op11_streaming_fill_middle, op12_swap_best_fit,
     )}
 
 
@@ -90,5 +104,25 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+OP11_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), u as (
+  select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+    cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d
+), r as (
+  select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as low, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as high from u
+), c as (
+  select doc_id, text, n, array_to_string(units[1:low], '') as p, array_to_string(units[low + 1:high], '') as m, array_to_string(units[high + 1:], '') as s,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+      when h4 % 100 < 50 then 'spm' else 'psm' end as form from r
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_dual_tree_topk": OP7_SQL}
+    return {"op7_dual_tree_topk": OP7_SQL, "op11_streaming_fill_middle": OP11_SQL}

@@ -1,0 +1,216 @@
+"""Fill-in-the-middle and packing, against plain versions and round trips."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from peptrail.llm import fill_middle as fm
+from peptrail.llm import packing as pk
+
+ODD = [
+    (1, None), (2, ""), (3, "\n"), (4, "\n\n\n"), (5, "one line"), (6, "a\nb\nc"), (7, "a\nb\nc\n"), (8, "has <P> inside\nx"), (9, "ends in <\n<S\nx<"),
+    (10, "né\n\U0001f600\r\nü\n" * 40), (11, "same\ntext\n"), (11, "same\ntext\n"), (None, "no id\nat all\n"), (12, "<M>"), (13, " \x85  \nx"),
+    (14, "w " * 200_000 + "\n" + "z" * 50_000), (15, "l\n" * 50_000), (16, "<S>\n"), (17, "a<S\n<\n<P\n>" * 3),
+]
+
+
+def by_hand(doc_id, text):
+    """The contract, with an array of units."""
+    text = text or ""
+    h = hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(units)
+    low, high = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = ("".join(u) for u in (units[:low], units[low:high], units[high:]))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= 100:
+        return (n, "plain", None, None, text)
+    return (n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h4 % 100 < 50 else (n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_fill_middle_follows_the_contract_and_restores(spark, docs_of):
+    rng = random.Random(3)
+    rows = ODD + [(100 + k, "".join(rng.choice(["\n", "a", "<", "S", ">", "é", " b"]) for _ in range(rng.randrange(60)))) for k in range(150)]
+    made = fm.fill_middle(docs_of(rows)).withColumn("back", fm.restored(F.col("output"), F.col("form"))).collect()
+    got = sorted(((r.doc_id, (r.n, r.form, r.prefix_chars, r.middle_chars, r.output), r.back) for r in made), key=repr)
+    assert got == sorted(((i, by_hand(i, t), t or "") for i, t in rows), key=repr)
+    assert {r.form for r in made} == {"plain", "psm", "spm"}
+
+
+def test_fill_middle_shares_other_units_and_marks(spark, docs_of):
+    rows = [(k, "one two three four five " * 3) for k in range(300)]
+    made = fm.fill_middle(docs_of(rows), unit=r"\S+\s*", marks=("[pre]", "[suf]", "[mid]"), percent=60, spm_percent=25, seed=1)
+    forms = made.groupBy("form").count().rdd.collectAsMap()
+    assert 150 < forms["psm"] + forms["spm"] < 210 and 25 < forms["spm"] < 70
+    back = made.select(fm.restored(F.col("output"), F.col("form"), ("[pre]", "[suf]", "[mid]")).alias("t")).distinct().collect()
+    assert [r.t for r in back] == [rows[0][1]]
+    for marks in (("a", "a", "b"), ("ab", "ba", "c"), ("", "x", "y"), ("<P>", "<PP>x<P>", "q")):
+        with pytest.raises(ValueError):
+            fm.checked_marks(marks)
+    with pytest.raises(ValueError):
+        fm.fill_middle(docs_of(rows), unit="a*")
+
+
+def test_fill_middle_stores_no_units():
+    """Two ranks of a text of a million lines, in memory that does not follow the lines."""
+    import tracemalloc
+
+    unit, text = re.compile(fm.LINE), "x\n" * 1_000_000
+    tracemalloc.start()
+    assert (fm.count_units(unit, text), fm.ends_at(unit, text, 400_000, 900_000)) == (1_000_000, (800_000, 1_800_000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000
+    assert fm.ends_at(unit, "a\nb", 0, 0) == (0, 0) and fm.ends_at(unit, "a\nb", 2, 2) == (3, 3)
+
+
+def test_fill_middle_of_tables_with_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a\nb\n", 9, "x")], "doc_id long, text string, n int, output string")
+    assert fm.fill_middle(docs).columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
+    assert fm.fill_middle(docs).first().n == 2
+    assert fm.fill_middle(docs.limit(0)).count() == 0
+
+
+# -- packing
+
+
+def fewest(size, capacity):
+    """Fewest bins by trying all: for a few pieces."""
+    best = len(size)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(size):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= size[k] and rooms[j] not in rooms[:j]:
+                place(k + 1, [*rooms[:j], rooms[j] - size[k], *rooms[j + 1 :]])
+        place(k + 1, [*rooms, capacity - size[k]])
+
+    size = sorted(size, reverse=True)
+    place(0, [])
+    return best
+
+
+def sound(bins, size, capacity):
+    return sorted(i for b in bins for i in b) == list(range(len(size))) and all(0 < sum(size[i] for i in b) <= capacity for b in bins)
+
+
+def test_exchanges_reach_the_fewest_bins_of_small_groups():
+    rng = random.Random(5)
+    over = start_over = 0
+    for _ in range(150):
+        size = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 11))]
+        bins, want = pk.packed_group(size, list(range(len(size))), 60), fewest(size, 60)
+        assert sound(bins, size, 60)
+        over += len(bins) - want
+        start_over += len(pk.best_fit(size, 60)) - want
+    assert over <= start_over and over <= 3
+
+
+def test_exchanges_empty_bins_that_best_fit_leaves():
+    # best fit leaves 50+45, 30+25+25 and 25: 25+25 against 45, and the last one moves
+    assert len(pk.best_fit([50, 45, 30, 25, 25, 25], 100)) == 3
+    size = [50, 45, 30, 25, 25, 25]
+    assert sound(pk.packed_group(size, list(range(6)), 100), size, 100) and len(pk.packed_group(size, list(range(6)), 100)) == 2
+    rng = random.Random(1)
+    size = [rng.randrange(1200, 1500) for _ in range(900)]
+    plain, better = pk.best_fit(size, 4096), pk.packed_group(size, list(range(900)), 4096)
+    assert sound(better, size, 4096) and len(better) < len(plain)
+
+
+def test_each_exchange_raises_the_squared_fill():
+    rng = random.Random(2)
+    size = [rng.randrange(1, 700) for _ in range(120)]
+    bins = [[i] for i in range(120)]  # far from packed
+    search = pk.Exchanges(bins, size, 1000)
+    before = sum(f * f for f in search.fill)
+    donor = min(range(120), key=lambda b: search.fill[b])
+    search.drain(donor, sorted((b for b in range(120) if b != donor), key=lambda b: -search.fill[b]))
+    assert sum(f * f for f in search.fill) > before
+    kinds = set()
+    for _ in range(400):
+        size = [rng.randrange(1, 60) for _ in range(8)]
+        s = pk.Exchanges([[0, 1, 2, 3], [4, 5, 6, 7]], size, 1000)
+        s.capacity = s.fill[1] + rng.randrange(1, 40)
+        move = s.best(0, 1, *s.offers(0))
+        if move:
+            tokens, out, back = move
+            assert 0 < tokens == sum(size[i] for i in out) - sum(size[i] for i in back) <= s.capacity - s.fill[1]
+            kinds.add((len(out), len(back)))
+    assert {(1, 1), (2, 1), (1, 2)} <= kinds and kinds & {(1, 0), (2, 0)}
+
+
+def test_no_round_makes_more_bins():
+    rng = random.Random(4)
+    for _ in range(60):
+        size = [rng.randrange(1, 100) for _ in range(30)]
+        first = pk.packed_group(size, list(range(30)), 100, patience=0)
+        named = [next(k for k, b in enumerate(first) if i in b) for i in range(30)]
+        assert len(pk.packed_group(size, named, 100)) <= len(first)
+
+
+@pytest.fixture(scope="module")
+def library(tokenizer_path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path)
+
+
+def checked(packed, rows, library, end_id=1, capacity=4096):
+    """Every piece is right, and sequences are gapless; the number of sequences."""
+    got = packed.collect()
+    want = []
+    for i, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, end_id]
+        want += [(i, k, at, len(ids[at : at + capacity]), np.array(ids[at : at + capacity], "<u4").tobytes()) for k, at in enumerate(range(0, len(ids), capacity))]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, bytes(r.ids)) for r in got), key=repr) == sorted(want, key=repr)
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in held.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(held), sum(len(w[4]) // 4 for w in want)
+
+
+def test_pack_odd_texts(spark, docs_of, tokenizer_path, library):
+    rng = random.Random(8)
+    words = "the cat sat on a mat with peptides in gut ŝ Über 42".split()
+    rows = [(i, t) for i, t in ODD if i != 14] + [(200 + k, " ".join(rng.choice(words) for _ in range(rng.randrange(900)))) for k in range(120)]
+    rows += [(None, "x"), (None, "x"), (500, "y " * 4095), (501, "y " * 4096), (502, "y " * 9000)]
+    packed = pk.pack(docs_of(rows), tokenizer_path, group=40)
+    n, tokens = checked(packed, rows, library)
+    assert n <= -(-tokens // 4096) + 1
+    bound = pk.sequences(packed).collect()
+    assert len(bound) == n and all(len(r.ids) == 4 * r.n_tokens == 4 * sum(r.lengths) for r in bound)
+    assert sum(zlib.crc32(bytes(r.ids)) >= 0 for r in bound) == n
+
+
+def test_pack_of_empty_and_clashing_tables(spark, tokenizer_path, library):
+    docs = spark.createDataFrame([(1, "a b", 5, "k"), (2, None, 6, "l")], "doc_id long, text string, length int, key string")
+    assert checked(pk.pack(docs, tokenizer_path), [(1, "a b"), (2, None)], library)[0] == 1
+    assert pk.pack(docs.limit(0), tokenizer_path).count() == 0
+    assert checked(pk.pack(docs.limit(1), tokenizer_path, end_id=70_000, capacity=2), [(1, "a b")], library, 70_000, 2)[0] == 2
+
+
+def test_rounds_bring_groups_together(spark):
+    rng = random.Random(6)
+    size = [rng.randrange(1, 3000) for _ in range(3000)]
+    lengths = spark.createDataFrame(list(enumerate(size)), "key long, length long")
+    found = pk.places(lengths, 4096, group=150).collect()
+    assert sorted(r.key for r in found) == list(range(3000))
+    n, least = len({r.sequence_id for r in found}), -(-sum(size) // 4096)
+    apart = pk.places(lengths, 4096, group=150, rounds=1).select("sequence_id").distinct().count()
+    assert n < apart and n <= least * 1.01 + 1
