@@ -198,7 +198,7 @@ RELATIONS = {
 }
 
 
-def _with(select: str) -> str:
+def with_relations(select: str) -> str:
     """The select with the relations that it needs, in order."""
     import re
 
@@ -221,7 +221,7 @@ def _add(name: str, columns: str, source: str, query: Callable[[Study, Fixtures]
     """A query and its SQL: the columns with their kinds (s as it is, i whole, d to eight digits) of a relation."""
     kinds = _kinds(columns)
     Q[name] = lambda s, f: rounded(query(s, f).select(*kinds))
-    SQL[name] = _with(_sql_rounded(kinds, source))
+    SQL[name] = with_relations(_sql_rounded(kinds, source))
 
 
 _tier = lambda text: " ".join(text.format(t=t) for t in TIERS)
