@@ -72,9 +72,8 @@ def watch(spark: SparkSession, tables: str, out: str, checkpoint: str, config: d
 
     def take(proteins: DataFrame, batch: int) -> None:
         read = Observation()
-        seen = proteins.observe(read, F.count(F.lit(1)).alias("proteins"), F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("residues"))
         kind = F.when(F.col("ambiguous"), "ambiguous").otherwise("hit")
-        rows = scan(seen, peptides, cutoff).withColumns({"batch": F.lit(batch), "kind": kind}).drop("ambiguous")
+        rows = scan(proteins, peptides, cutoff, read=read).withColumns({"batch": F.lit(batch), "kind": kind}).drop("ambiguous")
         own = {"partitionOverwriteMode": "dynamic"}
         rows.write.partitionBy("batch", "kind").mode("overwrite").options(**own).parquet(f"{out}/scanned")
         totals = read.get

@@ -3,7 +3,8 @@
 A peptide is cut into four parts; three substitutions leave one of them whole. Proteins are scanned in
 batches: parts are looked up in tables of up to five residues, for all peptides at once, and compared
 whole before a window is looked at. The lookups follow the residues, the comparisons the parts that
-were found, which are in proportion to residues times peptides, some 20^3 to 20^6 times fewer.
+were found, which are in proportion to residues times peptides, some 20^3 to 20^6 times fewer. Few peptides
+are sent to every executor; many are a distributed side, dealt to shards by their parts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from peptrail.functions.aminoacids import DISTANCE, RESIDUES, UNKNOWN, encoded
@@ -24,9 +25,11 @@ HIT_SCHEMA = (
     "exact int, cons_le1 int, cons_le2 int, cons_le3 int, unrestricted_le1 int, unrestricted_le2 int"
 )
 HIT_COLUMNS = [c.split()[0] for c in HIT_SCHEMA.split(", ")]
-#: peptides that one pass over the proteins takes; more make more passes
-PEPTIDES_A_PASS = 20_000
+#: peptides that go out to every executor; more meet the proteins in shards of so many
+PEPTIDES_SENT, SHARD_PEPTIDES = 20_000, 50_000
 _TABLE = 5
+_LETTERS = np.array(list(RESIDUES), object)
+_WHOLE = {c: "Int32" for c in HIT_COLUMNS if c.startswith(("protein_start", "n_", "max_", "grantham", "exact", "cons", "unres"))}
 
 
 def parts(length: int, n: int = MAX_SUBSTITUTIONS + 1) -> list[tuple[int, int]]:
@@ -37,8 +40,8 @@ def parts(length: int, n: int = MAX_SUBSTITUTIONS + 1) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
 
 
-def seed_table(peptides: DataFrame, n: int = MAX_SUBSTITUTIONS + 1) -> DataFrame:
-    """``peptide_id, part, offset, seed``: the parts of each peptide, as expressions."""
+def seed_table(peptides: DataFrame, n: int = MAX_SUBSTITUTIONS + 1, keep: tuple[str, ...] = ("peptide_id",)) -> DataFrame:
+    """``part, offset, seed`` of each peptide, as expressions, beside the columns to keep."""
     size = F.length("sequence")
     k = F.least(F.lit(n), size)
     short, longer = F.floor(size / k).cast("int"), (size % k).cast("int")
@@ -47,31 +50,38 @@ def seed_table(peptides: DataFrame, n: int = MAX_SUBSTITUTIONS + 1) -> DataFrame
         F.sequence(F.lit(0), k - 1),
         lambda i: F.struct(i.alias("part"), place(i).alias("offset"), F.substring(F.col("sequence"), place(i) + 1, short + F.when(i < longer, 1).otherwise(0)).alias("seed")),
     )
-    return peptides.select("peptide_id", F.inline(cut))
+    return peptides.select(*keep, F.inline(cut))
 
 
 class Scanner:
-    """Seeded windows of a set of peptides in concatenated proteins."""
+    """Seeded windows of a set of peptides in concatenated proteins.
 
-    def __init__(self, ids: list[str], sequences: list[str]):
-        self.ids, self.sequences = ids, sequences
+    ``held`` tells which parts of each peptide are looked up here (all, unless another scanner has the rest). A part
+    with other than standard residues is found nowhere.
+    """
+
+    def __init__(self, ids: list[str], sequences: list[str], held: np.ndarray | None = None):
+        self.ids, self.sequences = np.array(ids, object), np.array(sequences, object)
         self.length = np.array([len(s) for s in sequences], np.int64)
         self.codes = np.full((len(sequences), int(self.length.max(initial=0))), UNKNOWN, np.uint8)
-        seeds: dict[int, list[tuple[int, int, int, int, int]]] = {}
-        for p, sequence in enumerate(sequences):
-            code = encoded(sequence)
-            self.codes[p, : len(code)] = code
-            for part, (offset, size) in enumerate(parts(len(code))):
-                key = 0
-                for c in code[offset : offset + min(size, _TABLE)].tolist():
-                    key = key * 20 + c
-                seeds.setdefault(min(size, _TABLE), []).append((key, p, part, offset, size))
+        text = encoded("".join(sequences))
+        self.codes[np.arange(self.codes.shape[1]) < self.length[:, None]] = text
+        seeds: dict[int, list[np.ndarray]] = {}
+        for n in np.unique(self.length[self.length > 0]).tolist():
+            some = np.flatnonzero(self.length == n)
+            for part, (offset, size) in enumerate(parts(n)):
+                own = some if held is None else some[held[some, part]]
+                own = own[(self.codes[own, offset : offset + size] != UNKNOWN).all(1)]
+                width = min(size, _TABLE)
+                key = self.codes[own, offset : offset + width].astype(np.int64) @ 20 ** np.arange(width - 1, -1, -1)
+                fixed = np.broadcast_to(np.array([[part], [offset], [size]], np.int64), (3, len(own)))
+                seeds.setdefault(width, []).append(np.vstack([key, own, fixed]))
         #: by residues of the key: where each key's rows begin; peptide, part, offset and size of each row
         self.tables = {}
-        for size, rows in seeds.items():
-            rows.sort()
-            key, *columns = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-            self.tables[size] = np.searchsorted(key, np.arange(20**size + 1)).astype(np.int32), columns
+        for width, rows in seeds.items():
+            rows = np.hstack(rows)
+            key, *columns = rows[:, np.argsort(rows[0], kind="stable")]
+            self.tables[width] = np.searchsorted(key, np.arange(20**width + 1)).astype(np.int32), columns
 
     def proposals(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Peptides, parts and starts of windows inside one protein that hold that part whole, about ``at_once`` at a time."""
@@ -114,7 +124,7 @@ class Scanner:
         text = np.full(int(size.sum() + len(size)), UNKNOWN, np.uint8)
         for a, code in zip(start.tolist(), codes, strict=True):
             text[a : a + len(code)] = code
-        rows: list[tuple] = []
+        found: list[pd.DataFrame] = []
         for peptide, part, at in self.proposals(text, start, end):
             for n in np.unique(self.length[peptide]).tolist():
                 some = np.flatnonzero(self.length[peptide] == n)
@@ -124,56 +134,149 @@ class Scanner:
                 whole = np.stack([~differs[:, offset : offset + width].any(1) for offset, width in parts(n)], 1)
                 odd = (window == UNKNOWN).any(1)
                 taken = (whole.argmax(1) == part[some]) & (odd | (differs.sum(1) <= MAX_SUBSTITUTIONS))
-                for k in np.flatnonzero(taken).tolist():
-                    rows.append(self._row(int(p[k]), int(here[k]), window[k], differs[k], bool(odd[k]), names, proteins, start, end, cutoff))
-        return pd.DataFrame(rows, columns=[*HIT_COLUMNS, "ambiguous"])
-
-    def _row(self, p: int, at: int, window: np.ndarray, differs: np.ndarray, odd: bool, names, proteins, start, end, cutoff: int) -> tuple:
-        owner = int(np.searchsorted(end, at, side="right"))
-        first = at - int(start[owner])
-        head = (self.ids[p], self.sequences[p], names[owner], first + 1, proteins[owner][first : first + len(window)])
-        if odd:
-            return (*head, *[None] * 12, True)
-        query, places = self.codes[p], np.flatnonzero(differs)
-        gaps = DISTANCE[query[places], window[places]].tolist()
-        n_sub, close = len(gaps), sum(g <= cutoff for g in gaps)
-        shown = ";".join(f"{RESIDUES[query[j]]}{j + 1}{RESIDUES[window[j]]}:{g}" for j, g in zip(places.tolist(), gaps, strict=True))
+                if taken.any():
+                    owner = np.searchsorted(end, here[taken], side="right")
+                    head = self._placed(p[taken], owner, here[taken] - start[owner], n, names, proteins)
+                    found.append(head.join(self._graded(p[taken], window[taken], differs[taken], odd[taken], cutoff)))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*HIT_COLUMNS, "ambiguous"])
+
+    def _placed(self, p: np.ndarray, owner: np.ndarray, first: np.ndarray, n: int, names: list[str], proteins: list[str]) -> pd.DataFrame:
+        shown = [proteins[k][a : a + n] for k, a in zip(owner.tolist(), first.tolist(), strict=True)]
+        named = [names[k] for k in owner.tolist()]
+        return pd.DataFrame(dict(zip(HIT_COLUMNS[:5], (self.ids[p], self.sequences[p], named, first + 1, shown), strict=True)))
+
+    def _graded(self, p: np.ndarray, window: np.ndarray, differs: np.ndarray, odd: np.ndarray, cutoff: int) -> pd.DataFrame:
+        """Grades of windows of one length; an ambiguous one has none."""
+        query = self.codes[p, : window.shape[1]]
+        differs = differs & ~odd[:, None]
+        gap = np.zeros(differs.shape, np.int16)
+        gap[differs] = DISTANCE[query[differs], window[differs]]
+        n_sub, close = differs.sum(1), (differs & (gap <= cutoff)).sum(1)
+        row, place = np.nonzero(differs)
+        one = _LETTERS[query[differs]] + (place + 1).astype(str).astype(object) + _LETTERS[window[differs]] + ":" + gap[differs].astype(str).astype(object)
+        rank = np.arange(len(row)) - (np.cumsum(n_sub) - n_sub)[row]
+        text = np.full(len(p), "", object)
+        for k in range(MAX_SUBSTITUTIONS):
+            some = rank == k
+            text[row[some]] = text[row[some]] + (";" if k else "") + one[some]
         pure = n_sub == close
-        tiers = [n_sub == 0, *(n_sub <= m and pure for m in (1, 2, 3)), n_sub <= 1, n_sub <= 2]
-        return (*head, n_sub, close, n_sub - close, shown, max(gaps, default=0), sum(gaps), *map(int, tiers), False)
+        grades = (n_sub, close, n_sub - close, text, gap.max(1, initial=0), gap.sum(1), n_sub == 0, *((n_sub <= m) & pure for m in (1, 2, 3)), n_sub <= 1, n_sub <= 2)
+        out = pd.DataFrame({c: v if v.dtype == object else v.astype(np.int32) for c, v in zip(HIT_COLUMNS[5:], grades, strict=True)})
+        if odd.any():
+            out = out.astype({c: "Int32" for c in out.columns if c != "substitutions"})
+            out.loc[odd, :] = None
+        return out.assign(ambiguous=odd)
+
+
+def _in_batches(scanner: Scanner, names: list[str], texts: list[str], cutoff: int, batch_residues: int) -> Iterator[pd.DataFrame]:
+    at = 0
+    while at < len(texts):
+        end, n = at, 0
+        while end < len(texts) and (end == at or n + len(texts[end]) <= batch_residues):
+            n += len(texts[end])
+            end += 1
+        yield scanner.search(names[at:end], texts[at:end], cutoff).astype(_WHOLE)
+        at = end
+
+
+def _both(proteins: DataFrame, peptides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return proteins.select("protein_rep_id", "sequence"), peptides.select("peptide_id", "sequence").dropna()
+
+
+def scan(
+    proteins: DataFrame, peptides: DataFrame, cutoff: int = 50, batch_residues: int = 2_000_000, most: int = PEPTIDES_SENT, read: Observation | None = None
+) -> DataFrame:
+    """Hits and ambiguous windows of ``proteins(protein_rep_id, sequence)``, in one pass over them.
+
+    Up to ``most`` peptides (under a megabyte) go out to every executor, and nothing is shuffled; more meet the
+    proteins by their seeds (``exchanged``). Each protein record is scanned for itself, so records with one id give
+    their hits each. Null ids, sequences and peptides take no part. ``read`` observes the records and residues that
+    were read (``proteins, residues``), nulls too, in the stage that gives the rows.
+    """
+    proteins, peptides = _both(proteins, peptides)
+    listed = peptides.limit(most + 1).collect()
+    if len(listed) > most:
+        return exchanged(proteins, peptides, cutoff, batch_residues, read=read)
+    sent = proteins.sparkSession.sparkContext.broadcast(sorted((r.peptide_id, r.sequence) for r in listed))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner([p for p, _ in sent.value], [s for _, s in sent.value])
+        for frame in frames:
+            frame = frame.dropna()
+            yield from _in_batches(scanner, frame.protein_rep_id.tolist(), frame.sequence.tolist(), cutoff, batch_residues)
 
-def scan(proteins: DataFrame, peptides: DataFrame, cutoff: int = 50, batch_residues: int = 2_000_000) -> DataFrame:
-    """Hits and ambiguous windows of ``proteins(protein_rep_id, sequence)``; no shuffle.
+    if read is not None:
+        proteins = proteins.observe(read, F.count(F.lit(1)).alias("proteins"), F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("residues"))
+    return proteins.mapInPandas(run, HIT_SCHEMA + ", ambiguous boolean")
 
-    Peptides go out once for each executor, at most ``PEPTIDES_A_PASS`` (under a megabyte) in one pass
-    over the proteins; each protein record is scanned for itself, so records with one id give their
-    hits each. Null ids, sequences and peptides take no part.
+
+def seeds_by_shard(peptides: DataFrame, shards: int, most_a_seed: int) -> DataFrame:
+    """``peptide_id, sequence, part, shard``: the parts of all peptides, dealt by their residues.
+
+    Equal seeds stand in one shard, but for hot ones: a seed of over ``most_a_seed`` parts is dealt over as many
+    shards as it takes.
+    """
+    cut = seed_table(peptides.where(F.length("sequence") > 0), keep=("peptide_id", "sequence"))
+    size = cut.groupBy("seed").agg(F.ceil(F.count("*") / most_a_seed).alias("slices"))
+    mark = F.pmod(F.xxhash64("seed", F.pmod(F.xxhash64("peptide_id", "part"), F.col("slices"))), F.lit(shards))
+    return cut.join(size, "seed").select("peptide_id", "sequence", "part", mark.cast("int").alias("shard"))
+
+
+def exchanged(
+    proteins: DataFrame, peptides: DataFrame, cutoff: int = 50, batch_residues: int = 2_000_000, shard_peptides: int = SHARD_PEPTIDES, read: Observation | None = None
+) -> DataFrame:
+    """``scan`` for any number of peptides: their parts and the proteins meet in shards of seeds.
+
+    A shard holds the seeds of about ``shard_peptides`` peptides; every protein goes to each shard once, whole, for
+    most proteins hold seeds of all shards, and a residue takes a byte where a seeded window would take fifty. So the
+    shuffle is shards times residues. Each shard is dealt over many partitions, where the seeds stand first and
+    the proteins stream by: what a task holds is bounded by a shard's seeds and a batch of proteins. A window that
+    several shards find is taken by the shard of its first whole part.
     """
-    listed = peptides.select("peptide_id", "sequence").dropna().toLocalIterator()
-    wanted = sorted((r.peptide_id, r.sequence) for r in listed)
-    out = None
-    for first in range(0, max(len(wanted), 1), PEPTIDES_A_PASS):
-        sent = proteins.sparkSession.sparkContext.broadcast(wanted[first : first + PEPTIDES_A_PASS])
-
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            scanner = Scanner([p for p, _ in sent.value], [s for _, s in sent.value])
-            whole = {c: "Int32" for c in HIT_COLUMNS if c.startswith(("protein_start", "n_", "max_", "grantham", "exact", "cons", "unres"))}
-            for frame in frames:
-                frame = frame.dropna()
-                names, texts = frame.protein_rep_id.tolist(), frame.sequence.tolist()
-                at = 0
-                while at < len(texts):
-                    end, n = at, 0
-                    while end < len(texts) and (end == at or n + len(texts[end]) <= batch_residues):
-                        n += len(texts[end])
-                        end += 1
-                    yield scanner.search(names[at:end], texts[at:end], cutoff).astype(whole)
-                    at = end
-
-        part = proteins.select("protein_rep_id", "sequence").mapInPandas(run, HIT_SCHEMA + ", ambiguous boolean")
-        out = part if out is None else out.unionAll(part)
-    return out
+    spark = proteins.sparkSession
+    proteins, peptides = _both(proteins, peptides)
+    n = peptides.count()
+    shards = max(1, -(-n // shard_peptides))
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    seeds = seeds_by_shard(peptides, shards, max(1, shard_peptides // 8))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    first = seeds.select(F.col("peptide_id").alias("name"), "sequence", F.col("part").cast("int").alias("part"), "shard", every.alias("slice"))
+    dealt = proteins.withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int"))
+    rest = dealt.select(
+        F.col("protein_rep_id").alias("name"), "sequence", F.lit(-1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "slice"
+    )
+    met = first.unionByName(rest).withColumn("place", F.col("shard") * slices + F.col("slice"))
+    met = met.repartitionById(shards * slices, "place").sortWithinPartitions("place", F.desc("part"))
+    if read is not None:
+        once = (F.col("part") < 0) & (F.col("shard") == 0)
+        met = met.observe(read, F.count_if(once).alias("proteins"), F.coalesce(F.sum(F.when(once, F.length("sequence"))), F.lit(0)).alias("residues"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, held, scanner = -1, [], None
+        for frame in frames:
+            for here, rows in frame.groupby("place"):
+                if here != place:
+                    place, held, scanner = here, [], None
+                own, others = rows[rows.part >= 0], rows[rows.part < 0].dropna(subset=["name", "sequence"])
+                if len(own):
+                    held.append(own)
+                if not len(others) or not (held or scanner):
+                    continue
+                if scanner is None:
+                    scanner, held = _of_seeds(pd.concat(held)), []
+                yield from _in_batches(scanner, others.name.tolist(), others.sequence.tolist(), cutoff, batch_residues)
+
+    return met.select("place", "part", "name", "sequence").mapInPandas(run, HIT_SCHEMA + ", ambiguous boolean")
+
+
+def _of_seeds(rows: pd.DataFrame) -> Scanner:
+    """A scanner of the given parts; a peptide that comes several times is several peptides."""
+    rows = rows.assign(copy=rows.groupby(["name", "sequence", "part"]).cumcount())
+    known = rows.groupby(["name", "sequence", "copy"], sort=True)
+    held = np.zeros((known.ngroups, MAX_SUBSTITUTIONS + 1), bool)
+    held[known.ngroup().to_numpy(), rows.part.to_numpy()] = True
+    names = known.size().index
+    return Scanner(names.get_level_values(0).tolist(), names.get_level_values(1).tolist(), held)
 
 
 def hits(scanned: DataFrame) -> DataFrame:
@@ -192,11 +295,10 @@ def hit_examples(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
-def search_counts(scanned: DataFrame, proteins: DataFrame) -> DataFrame:
-    """One row of totals of a search."""
-    totals = scanned.agg(
+def search_counts(scanned: DataFrame, read: dict[str, int]) -> DataFrame:
+    """One row of totals of a search; ``read`` holds what its scan observed, so the proteins are not read again."""
+    return scanned.agg(
         F.coalesce(F.sum(F.col("ambiguous").cast("long")), F.lit(0)).alias("ambiguous_windows"),
         F.coalesce(F.sum((~F.col("ambiguous")).cast("long")), F.lit(0)).alias("hits"),
         F.count_distinct(F.when(~F.col("ambiguous"), F.col("protein_rep_id"))).alias("hit_representatives"),
-    )
-    return totals.crossJoin(proteins.agg(F.count("*").alias("proteins"), F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("residues")))
+    ).withColumns({name: F.lit(read[name]).cast("long") for name in ("proteins", "residues")})

@@ -331,7 +331,7 @@ _add("excel_omissions", "sheet:s rows_counted:i", "(select * from (" + " union a
 ) + ") where rows_counted > 100)", _omissions)
 _add("search_counts", "ambiguous_windows:i hits:i hit_representatives:i proteins:i residues:i", """(select (select count(*) from ambiguous) as ambiguous_windows, (select count(*) from hits) as hits,
      (select count(distinct protein_rep_id) from hits) as hit_representatives, (select count(*) from fx_proteins) as proteins, (select coalesce(sum(length(sequence)), 0) from fx_proteins) as residues)""",
-     lambda s, f: se.search_counts(s.scanned, f.proteins))
+     lambda s, f: s.search_counts)
 
 
 def _melted(s: Study, f: Fixtures) -> DataFrame:

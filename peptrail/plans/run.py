@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from peptrail.checks import require, require_none, require_unique
@@ -161,8 +161,9 @@ class Run:
         if not (self.reuse and mf.stands(folder, "scan", scan_inputs)):
             mf.tear(folder, "scan")
             proteins = fasta.read_fasta(self.spark, self.inputs.uhgp_faa).withColumnRenamed("id", "protein_rep_id")
-            scanned = self._write(se.scan(proteins, peptides, s.conservative_grantham_max), "scanned_windows")
-            folder.write_json("search_qc.json", se.search_counts(scanned, proteins).first().asDict())
+            read = Observation()
+            scanned = self._write(se.scan(proteins, peptides, s.conservative_grantham_max, read=read), "scanned_windows")
+            folder.write_json("search_qc.json", se.search_counts(scanned, read.get).first().asDict())
             mf.give(folder, "scan", scan_inputs, ["scanned_windows", "search_qc.json"])
         hits = se.hits(self.table("scanned_windows"))
         representatives = hits.select("protein_rep_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from peptrail.operators import abundance as ab
 from peptrail.operators import carriage as ca
@@ -26,6 +26,7 @@ class Study:
     peptides: DataFrame
     membership: DataFrame
     settings: Settings = field(default_factory=Settings)
+    _read: Observation = field(default_factory=Observation, init=False)
 
     # -- preparation
     @cached_property
@@ -96,7 +97,11 @@ class Study:
 
     @cached_property
     def scanned(self) -> DataFrame:
-        return staged(se.scan(self.proteins, self.peptides, self.settings.conservative_grantham_max), "scanned")
+        return staged(se.scan(self.proteins, self.peptides, self.settings.conservative_grantham_max, read=self._read), "scanned")
+
+    @cached_property
+    def search_counts(self) -> DataFrame:
+        return se.search_counts(self.scanned, self._read.get)
 
     @cached_property
     def hits(self) -> DataFrame:

@@ -113,6 +113,67 @@ def test_scan_does_not_depend_on_partitions(spark):
     assert se.scan(proteins.limit(0), peptides).count() == 0
 
 
+def windows_of(r, proteins, n):
+    """Peptides that stand in proteins, some of them changed."""
+    out = []
+    for k in range(n):
+        text = r.choice(proteins)
+        size = r.randint(12, 25)
+        a = r.randrange(len(text) - size)
+        p = list(text[a : a + size])
+        for _ in range(r.choice([0, 0, 1, 2, 3, 4])):
+            p[r.randrange(size)] = r.choice(RESIDUES)
+        out.append((f"q{k}", "".join(p).replace("X", "A")))
+    return out
+
+
+def test_exchange_equals_the_scan(spark):
+    """More peptides than are sent: hot seeds, repeated peptides and records, nulls; the same rows and the same counts."""
+    from pyspark.sql import Observation
+
+    r = random.Random(11)
+    texts = ["".join(r.choice(RESIDUES + "X") if r.random() < 0.7 else "A" for _ in range(r.randint(40, 300))) for _ in range(60)]
+    texts += ["A" * 200, texts[0], "", "ACD"]
+    proteins = spark.createDataFrame([(f"t{k % 50}", t) for k, t in enumerate(texts)] + [(None, Q), ("n", None)], "protein_rep_id string, sequence string")
+    asked = windows_of(r, [t for t in texts if len(t) > 30], 300) + [("a", "A" * 12), ("a2", "A" * 25), ("q3", Q), ("twice", Q), ("twice", Q), (None, Q), ("z", None), ("e", ""), ("u", "ACDEFGXHIKLM")]
+    peptides = spark.createDataFrame(asked, "peptide_id string, sequence string")
+    seen, met = Observation(), Observation()
+    want = rows(se.scan(proteins, peptides, read=seen))
+    got = rows(se.exchanged(proteins.repartition(3), peptides, shard_peptides=40, read=met))
+    assert got == want and len(want) > 1000
+    assert seen.get == met.get == {"proteins": len(texts) + 2, "residues": sum(map(len, texts)) + len(Q)}
+    assert rows(se.scan(proteins, peptides, most=20)) == want  # chosen by the count
+    shards = {(x.peptide_id, x.part): x.shard for x in se.seeds_by_shard(peptides.dropna(), 8, 5).collect()}
+    assert len({v for (p, _), v in shards.items() if p in ("a", "a2")}) > 1  # a hot seed is split
+    assert se.exchanged(proteins.limit(0), peptides).count() == 0 and se.exchanged(proteins, peptides.limit(0)).count() == 0
+
+
+def test_two_hundred_thousand_peptides_in_one_pass(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choices(RESIDUES, k=r.randint(60, 400))) for _ in range(120)]
+    asked = windows_of(r, texts, 3_000) + [(f"r{k}", "".join(r.choices(RESIDUES, k=12 + k % 14))) for k in range(197_000)]
+    proteins, peptides = spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "protein_rep_id string, sequence string"), spark.createDataFrame(asked, "peptide_id string, sequence string")
+    found = se.scan(proteins, peptides)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # one pass
+    whole = se.Scanner([p for p, _ in asked], [s for _, s in asked]).search([f"t{k}" for k in range(120)], texts, 50)
+    key = ["peptide_id", "protein_rep_id", "protein_start_1based", "n_substitutions", "substitutions", "max_grantham", "cons_le2"]
+    assert rows(found.select(*key)) == sorted((tuple(x) for x in whole[key].itertuples(index=False)), key=repr)
+    assert len(whole) > 2_000
+
+
+def test_counts_read_the_proteins_once(spark):
+    """The counts of a search come with its rows: their plan reads the written rows alone."""
+    from peptrail.plans import queries
+
+    s = queries.study(spark, "/root/testdata/sf0.001")
+    counts = s.search_counts
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "documents" not in plan and "Join" not in plan
+    first = counts.first()
+    assert (first.proteins, first.residues) == s.proteins.selectExpr("count(*)", "sum(length(sequence))").first()
+
+
 def test_examples_are_ordered(spark):
     found = spark.createDataFrame([("p", 1, 5, "b", 1), ("p", 0, 0, "z", 3), ("p", 1, 5, "a", 9), ("q", 2, 9, "a", 1)], "peptide_id string, n_substitutions int, max_grantham int, protein_rep_id string, protein_start_1based int")
     assert [r[3] for r in rows(se.hit_examples(found, 2)) if r[0] == "p"] == ["z", "a"] or {r[3] for r in rows(se.hit_examples(found, 2)) if r[0] == "p"} == {"z", "a"}
