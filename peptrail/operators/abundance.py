@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peptrail.checks import require_none, require_unique
 from peptrail.functions.text import RANKS, lineage_rank, share
+from peptrail.operators.ordered import running_sum
 
 
 def with_ranks(host: DataFrame) -> DataFrame:
@@ -106,11 +107,11 @@ def species_stats(shares: DataFrame, samples: DataFrame) -> DataFrame:
 def select_panel(stats: DataFrame, target: float) -> DataFrame:
     """``stats`` with ``cumulative_mean_abundance`` and ``selected``: the smallest leading set that reaches the target.
 
-    Species stand by falling mean, then by name. The running sum takes one row a species.
+    Species stand by falling mean, then by name. The running sum is taken within ranges of that order and then over
+    the ranges, so no task gathers all species.
     """
-    order = Window.orderBy(F.desc("mean_abundance"), F.asc("species_key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.coalesce(F.lag("cumulative_mean_abundance").over(Window.orderBy(F.desc("mean_abundance"), F.asc("species_key"))), F.lit(0.0))
-    return stats.withColumn("cumulative_mean_abundance", F.sum("mean_abundance").over(order)).withColumn("selected", before < target)
+    summed = running_sum(stats, "mean_abundance", (F.desc("mean_abundance"), F.asc("species_key")), "__reached", "cumulative_mean_abundance")
+    return summed.select(*stats.columns, "cumulative_mean_abundance", (F.col("__reached") < target).alias("selected"))
 
 
 def abundance_matrix(shares: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame:

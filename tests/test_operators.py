@@ -12,6 +12,7 @@ from peptrail.operators import carriage as ca
 from peptrail.operators import coverage as co
 from peptrail.operators import labels as la
 from peptrail.operators import search as se
+from peptrail.operators.ordered import running_sum
 from peptrail.settings import TIERS
 
 
@@ -187,6 +188,30 @@ def test_lineage(spark):
     assert [(r.domain, r.genus, r.species) for r in ab.with_ranks(host).collect()] == [("Bacteria", "X", "C d"), ("", "", ""), ("", "", "E f")]
 
 
+def test_running_sum_over_ranges(spark):
+    """Sums before and up to each row, over several ranges, with ties, nulls and negative numbers; no task takes all rows."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    held = [(f"k{k:04}", r.choice([None, 1.0, 0.5, -2.0, r.random()]), r.randrange(5)) for k in range(700)]
+    df = spark.createDataFrame(held, "name string, value double, level int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running_sum(df, "value", (F.desc("level"), F.asc("name")), "before", "upto")
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+        found = {x.name: x for x in got.collect()}
+        ranges = got.select(F.input_file_name()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranges == 4 and len(found) == 700 and got.columns == ["name", "value", "level", "before", "upto"]
+    total = last = 0.0
+    for name, value, _ in sorted(held, key=lambda x: (-x[2], x[0])):
+        assert found[name].before == last and math.isclose(found[name].before, total, abs_tol=1e-9)
+        total, last = total + (value or 0.0), found[name].upto
+    assert math.isclose(last, total, abs_tol=1e-9)
+    assert running_sum(df.limit(0), "value", (F.asc("name"),), "before", "upto").count() == 0
+
+
 def panel(spark, means, target):
     stats = spark.createDataFrame(means, "species_key string, mean_abundance double")
     return sorted(r.species_key for r in ab.select_panel(stats, target).where("selected").collect())
