@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from peptrail.checks import require_fraction
 from peptrail.functions.text import clipped, share
+from peptrail.operators.quantiles import changed, quantiles, zero_filled
+from peptrail.plans.stages import staged
 from peptrail.settings import TIERS
 
 FRACTIONS = (
@@ -49,12 +51,13 @@ def sample_evaluability(shares: DataFrame, samples: DataFrame, panel_qc: DataFra
 
 
 def statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``metric, mean, median, p05, min, max`` of each column over the rows that have it."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("m")).select("m.*")
-    v = F.col("value")
-    return long.groupBy("metric").agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.percentile(v, F.lit(0.05)).alias("p05"), F.min(v).alias("min"), F.max(v).alias("max")
+    """``metric, mean, median, p05, min, max`` of each column over the rows that have it; quantiles by ranks, without buffers."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])))
+    sums = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    places = quantiles(long, ["metric"], [0.5, 0.05]).groupBy("metric").agg(
+        F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"), F.max(F.when(F.col("p") == 0.05, F.col("value"))).alias("p05")
     )
+    return sums.join(places, "metric", "left").select("metric", "mean", "median", "p05", "min", "max")
 
 
 def evaluability_summary(quality: DataFrame) -> DataFrame:
@@ -77,16 +80,25 @@ def weights(breadth: DataFrame) -> DataFrame:
     )
 
 
-def sample_coverage(shares: DataFrame, quality: DataFrame, breadth: DataFrame) -> DataFrame:
-    """``peptide_id, sample_name, tier`` and the measures: every combination has a row.
+def coverage_sums(shares: DataFrame, breadth: DataFrame) -> DataFrame:
+    """``peptide_id, sample_name, tier, c, low, broad``: the product of abundance and breadth where it is not 0.
 
-    C = sum a k/n; T = C / E (null at E = 0); L = sum a (k/n) r; U = L + 1 - R; species upper = C + 1 - E.
+    Only species with a breadth meet the samples that have them, so rows follow the non-zeros of both sides; sums
+    combine before they are shuffled.
     """
     a = F.col("abundance")
-    sums = shares.join(weights(breadth), "species").groupBy("peptide_id", "sample_name", "tier").agg(
+    sums = shares.where("abundance > 0").join(weights(breadth), "species").groupBy("peptide_id", "sample_name", "tier").agg(
         F.sum(a * F.col("breadth")).alias("c"), F.sum(a * F.col("breadth") * F.col("represented")).alias("low"),
         F.sum(F.when(F.col("broad"), a).otherwise(0.0)).alias("broad"),
     )
+    return sums.where("c > 0 or low > 0 or broad > 0")
+
+
+def sample_coverage(sums: DataFrame, quality: DataFrame, breadth: DataFrame) -> DataFrame:
+    """``peptide_id, sample_name, tier`` and the measures: every combination has a row, so this is for exports.
+
+    C = sum a k/n; T = C / E (null at E = 0); L = sum a (k/n) r; U = L + 1 - R; species upper = C + 1 - E.
+    """
     tiers = F.explode(F.array(*[F.lit(t) for t in TIERS])).alias("tier")
     grid = breadth.select("peptide_id").distinct().select("peptide_id", tiers).crossJoin(
         quality.select("sample_name", "evaluable_species_abundance", "unevaluable_species_abundance", "unresolved_reference_weight", "bioproject_id")
@@ -104,30 +116,69 @@ def sample_coverage(shares: DataFrame, quality: DataFrame, breadth: DataFrame) -
     )
 
 
-def project_medians(coverage: DataFrame) -> DataFrame:
-    """Medians over a project's samples; samples without a project take no part."""
-    return coverage.where("bioproject_id <> ''").groupBy("peptide_id", "tier", "bioproject_id").agg(
-        F.count("*").alias("n_samples"),
-        F.median("breadth_weighted_coverage").alias("median_coverage"),
-        F.median("missing_reference_lower").alias("median_missing_reference_lower"),
-        F.median("missing_reference_upper").alias("median_missing_reference_upper"),
-    )
+#: quantiles that summaries need of the measures that are 0 where a sample has no row: measure, quantile, over projects too
+_ZERO_FILLED = (("coverage", 0.5, True), ("coverage", 0.05, False), ("equal_rate", 0.5, False), ("lower", 0.5, True), ("broad", 0.5, False))
+
+
+def summary_quantiles(sums: DataFrame, quality: DataFrame, peptides: DataFrame) -> DataFrame:
+    """``scope, peptide_id, tier, n_samples, measure, p, value`` over all samples (scope '') and over each project's.
+
+    The full grid of peptides, samples and tiers is never made. Coverage, equal rate, lower bound and broad
+    carriers are 0 where ``sums`` has no row; a sample's upper bound is then its own unresolved weight, so a peptide's
+    upper bounds are those of all samples with the changes that its rows make.
+    """
+    scope = F.explode(F.array_distinct(F.array(F.lit(""), "bioproject_id"))).alias("scope")
+    e, u = F.col("evaluable_species_abundance"), F.col("unresolved_reference_weight")
+    samples = quality.select("sample_name", scope, e.alias("e"), u.alias("u"))
+    sizes = samples.groupBy("scope").agg(F.count("*").alias("n_samples"), F.count_if(F.col("e") != 0).alias("n_evaluable"))
+    tiers = F.explode(F.array(*[F.lit(t) for t in TIERS])).alias("tier")
+    groups = staged(peptides.select("peptide_id", tiers).crossJoin(sizes), "summary_groups")  # a row for each that a summary has
+    entries = staged(sums.join(samples, "sample_name"), "summary_entries")
+
+    everywhere = F.col("scope") == ""
+    row = lambda name, value: F.struct(F.lit(name).alias("measure"), value.alias("value"))
+    keys = ["scope", "peptide_id", "tier"]
+    values = entries.select(*keys, F.inline(F.array(
+        row("coverage", F.col("c")), row("lower", F.col("low")), row("equal_rate", F.when(everywhere, clipped(share(F.col("c"), F.col("e"))))),
+        row("broad", F.when(everywhere, F.col("broad"))),
+    )))
+    asked = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(p).alias("p"), F.lit(every).alias("every")) for m, p, every in _ZERO_FILLED])
+    n = F.when(F.col("measure") == "equal_rate", F.col("n_evaluable")).otherwise(F.col("n_samples"))
+    totals = groups.select(*keys, "n_samples", "n_evaluable", F.inline(asked)).where(everywhere | F.col("every")).select(*keys, "measure", n.alias("n"), "p")
+    zero = zero_filled(values, [*keys, "measure"], totals)
+
+    base = samples.select("scope", clipped(F.col("u")).alias("value"))
+    moved = entries.where("low > 0").select(*keys, F.inline(F.array(
+        F.struct(clipped(F.col("u")).alias("value"), F.lit(-1).alias("weight")), F.struct(clipped(F.col("low") + F.col("u")).alias("value"), F.lit(1).alias("weight")),
+    )))
+    upper = changed(base, ["scope"], moved, keys, groups.select(*keys, F.col("n_samples").alias("n"), F.lit(0.5).alias("p")))
+    found = zero.select(*keys, "measure", "p", "value").unionAll(upper.select(*keys, F.lit("upper"), "p", "value"))
+    return groups.select(*keys, "n_samples").join(found, keys, "left")
+
+
+def _pivoted(found: DataFrame, keys: list[str], names: dict[str, tuple[str, float]]) -> DataFrame:
+    pick = lambda measure, p: F.max(F.when((F.col("measure") == measure) & (F.col("p") == p), F.col("value")))
+    return found.groupBy(*keys).agg(*[pick(*of).alias(name) for name, of in names.items()])
+
+
+def project_medians(found: DataFrame) -> DataFrame:
+    """Medians over a project's samples, of ``summary_quantiles``; samples without a project take no part."""
+    names = {"median_coverage": ("coverage", 0.5), "median_missing_reference_lower": ("lower", 0.5), "median_missing_reference_upper": ("upper", 0.5)}
+    own = _pivoted(found.where("scope <> ''"), ["peptide_id", "tier", "scope", "n_samples"], names)
+    return own.select("peptide_id", "tier", F.col("scope").alias("bioproject_id"), "n_samples", *names)
 
 
 def median_of_project_medians(projects: DataFrame) -> DataFrame:
-    return projects.groupBy("peptide_id", "tier").agg(F.median("median_coverage").alias("median_of_bioproject_medians"))
-
-
-def tier_medians(coverage: DataFrame) -> DataFrame:
-    """Medians over samples of each peptide and tier, and the 5th percentile of coverage."""
-    return coverage.groupBy("peptide_id", "tier").agg(
-        F.median("breadth_weighted_coverage").alias("median_coverage"),
-        F.median("equal_rate_extrapolated_coverage").alias("median_equal_rate_extrapolated_coverage"),
-        F.percentile("breadth_weighted_coverage", F.lit(0.05)).alias("p05_coverage"),
-        F.median("missing_reference_lower").alias("median_missing_reference_lower"),
-        F.median("missing_reference_upper").alias("median_missing_reference_upper"),
-        F.median("broad_hq_thresholded_coverage").alias("median_thresholded_coverage"),
-    )
+    found = quantiles(projects.select("peptide_id", "tier", F.col("median_coverage").alias("value")), ["peptide_id", "tier"], [0.5])
+    return found.select("peptide_id", "tier", F.col("value").alias("median_of_bioproject_medians"))
+
+
+def tier_medians(found: DataFrame) -> DataFrame:
+    """Medians over all samples of each peptide and tier, and the 5th percentile of coverage, of ``summary_quantiles``."""
+    return _pivoted(found.where("scope = ''"), ["peptide_id", "tier"], {
+        "median_coverage": ("coverage", 0.5), "median_equal_rate_extrapolated_coverage": ("equal_rate", 0.5), "p05_coverage": ("coverage", 0.05),
+        "median_missing_reference_lower": ("lower", 0.5), "median_missing_reference_upper": ("upper", 0.5), "median_thresholded_coverage": ("broad", 0.5),
+    })
 
 
 def _wide(long: DataFrame, names: list[str]) -> DataFrame:
@@ -138,12 +189,13 @@ def _wide(long: DataFrame, names: list[str]) -> DataFrame:
 SUMMARY_MEDIANS = ("panel_abundance", "evaluable_species_abundance", "unevaluable_species_abundance", "represented_hq_reference_weight", "unresolved_reference_weight")
 
 
-def extended_summary(peptides: DataFrame, coverage: DataFrame, quality: DataFrame) -> DataFrame:
+def extended_summary(peptides: DataFrame, found: DataFrame, projects: DataFrame, quality: DataFrame) -> DataFrame:
     """One row a peptide: medians of every tier, and medians of what could be evaluated."""
     names = ["median_coverage", "median_equal_rate_extrapolated_coverage", "p05_coverage", "median_missing_reference_lower", "median_missing_reference_upper"]
-    by_tier = _wide(tier_medians(coverage), names)
-    by_project = _wide(median_of_project_medians(project_medians(coverage)), ["median_of_bioproject_medians"])
-    medians = quality.agg(*[F.median(c).alias(f"median_{c}") for c in SUMMARY_MEDIANS])
+    by_tier = _wide(tier_medians(found), names)
+    by_project = _wide(median_of_project_medians(projects), ["median_of_bioproject_medians"])
+    long = statistics(quality, list(SUMMARY_MEDIANS))
+    medians = long.agg(*[F.max(F.when(F.col("metric") == c, F.col("median"))).alias(f"median_{c}") for c in SUMMARY_MEDIANS])
     ordered = [f"{n}_{t}" for t in TIERS for n in [*names, "median_of_bioproject_medians"]]
     return (
         peptides.select("peptide_id", "sequence", "length").join(by_tier, "peptide_id", "left").join(by_project, "peptide_id", "left").crossJoin(medians)
@@ -162,9 +214,9 @@ def concise_summary(extended: DataFrame) -> DataFrame:
     return extended.select(*out, *[f"median_{c}" for c in SUMMARY_MEDIANS[:4]])
 
 
-def threshold_qc(peptides: DataFrame, coverage: DataFrame, breadth: DataFrame) -> DataFrame:
+def threshold_qc(peptides: DataFrame, found: DataFrame, breadth: DataFrame) -> DataFrame:
     """One row a peptide: the median share of broad carriers and their number, by tier."""
-    medians = _wide(tier_medians(coverage), ["median_thresholded_coverage"])
+    medians = _wide(tier_medians(found), ["median_thresholded_coverage"])
     carriers = breadth.groupBy("peptide_id").agg(*[F.sum(F.col(f"carrier_broad_hq_{t}").cast("int")).alias(f"n_broad_carrier_species_{t}") for t in TIERS])
     return peptides.select("peptide_id", "sequence", "length").join(medians, "peptide_id", "left").join(carriers, "peptide_id", "left")
 

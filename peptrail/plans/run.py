@@ -18,6 +18,7 @@ from peptrail.operators import carriage as ca
 from peptrail.operators import coverage as co
 from peptrail.operators import labels as la
 from peptrail.operators import search as se
+from peptrail.plans.stages import staged
 from peptrail.settings import TIERS, Settings
 from peptrail.sinks import manifests as mf
 from peptrail.sinks.export import listed, write_tsv, write_workbook
@@ -219,11 +220,13 @@ class Run:
             b = F.col(f"breadth_hq_{t}")
             require_none(breadth, (b < 0) | (b > 1), "a breadth is outside [0, 1]")
         quality = self._write(co.sample_evaluability(shares, samples, self.table("preparation_sample_qc"), species, check=True), "sample_evaluability")
-        coverage = self._write(co.sample_coverage(shares, quality, breadth), "peptide_sample_coverage")
-        projects = self._write(co.project_medians(coverage), "bioproject_coverage")
-        extended = self._write(co.extended_summary(peptides, coverage, quality), "extended_summary")
+        sums = staged(co.coverage_sums(shares, breadth), "sums")
+        coverage = self._write(co.sample_coverage(sums, quality, breadth), "peptide_sample_coverage")
+        found = staged(co.summary_quantiles(sums, quality, peptides), "summary")
+        projects = self._write(co.project_medians(found), "bioproject_coverage")
+        extended = self._write(co.extended_summary(peptides, found, projects, quality), "extended_summary")
         concise = self._write(co.concise_summary(extended), "concise_summary")
-        thresholds = self._write(co.threshold_qc(peptides, coverage, breadth), "broad_hq_threshold_qc")
+        thresholds = self._write(co.threshold_qc(peptides, found, breadth), "broad_hq_threshold_qc")
         summary = self._write(co.evaluability_summary(quality), "evaluability_summary")
         notes = {
             "prepared": folder.read_json("preparation_diagnostics.json"), "search": searched, "protein_search_qc": folder.read_json("search_qc.json"),

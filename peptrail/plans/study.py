@@ -138,15 +138,23 @@ class Study:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return co.sample_coverage(self.shares, self.quality, self.breadth)
+        return co.sample_coverage(self.sums, self.quality, self.breadth)
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        return staged(co.coverage_sums(self.shares, self.breadth), "sums")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return staged(co.summary_quantiles(self.sums, self.quality, self.peptides), "summary")
 
     @cached_property
     def projects(self) -> DataFrame:
-        return co.project_medians(self.coverage)
+        return co.project_medians(self.summary)
 
     @cached_property
     def extended(self) -> DataFrame:
-        return co.extended_summary(self.peptides, self.coverage, self.quality)
+        return co.extended_summary(self.peptides, self.summary, self.projects, self.quality)
 
     @cached_property
     def concise(self) -> DataFrame:
@@ -154,7 +162,7 @@ class Study:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        return co.threshold_qc(self.peptides, self.coverage, self.breadth)
+        return co.threshold_qc(self.peptides, self.summary, self.breadth)
 
     def abundance_matrix(self) -> DataFrame:
         return ab.abundance_matrix(self.shares, self.included, self.panel)

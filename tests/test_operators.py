@@ -4,6 +4,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from peptrail.checks import DataError
 from peptrail.functions.aminoacids import RESIDUES, distance
@@ -11,6 +12,7 @@ from peptrail.operators import abundance as ab
 from peptrail.operators import carriage as ca
 from peptrail.operators import coverage as co
 from peptrail.operators import labels as la
+from peptrail.operators import quantiles as qu
 from peptrail.operators import search as se
 from peptrail.operators.ordered import running_sum
 from peptrail.settings import TIERS
@@ -190,8 +192,6 @@ def test_lineage(spark):
 
 def test_running_sum_over_ranges(spark):
     """Sums before and up to each row, over several ranges, with ties, nulls and negative numbers; no task takes all rows."""
-    from pyspark.sql import functions as F
-
     r = random.Random(9)
     held = [(f"k{k:04}", r.choice([None, 1.0, 0.5, -2.0, r.random()]), r.randrange(5)) for k in range(700)]
     df = spark.createDataFrame(held, "name string, value double, level int")
@@ -212,6 +212,68 @@ def test_running_sum_over_ranges(spark):
     assert running_sum(df.limit(0), "value", (F.asc("name"),), "before", "upto").count() == 0
 
 
+# -- quantiles
+
+
+def by_numpy(groups, probabilities):
+    import numpy as np
+
+    return {(k, p): float(np.quantile(np.array(v, float), p)) for k, v in groups.items() if v for p in probabilities}
+
+
+def held_by(df, keys):
+    return {(tuple(r[k] for k in keys), r.p): r.value for r in df.collect()}
+
+
+def assert_close(got, want):
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
+def test_quantiles_equal_numpy(spark):
+    r = random.Random(3)
+    lines = [(f"g{r.randrange(6)}", r.choice([None, 0.0, 0.5, r.random(), -r.random()])) for _ in range(900)] + [("one", 2.0), ("none", None)]
+    groups = {}
+    for g, v in lines:
+        groups.setdefault((g,), []).extend([] if v is None else [v])
+    df = spark.createDataFrame(lines, "g string, value double").repartition(5)
+    assert_close(held_by(qu.quantiles(df, ["g"], [0.5, 0.05, 1.0]), ["g"]), by_numpy(groups, [0.5, 0.05, 1.0]))
+
+
+def test_zero_filled_quantiles(spark):
+    """Groups whose zeros are not there: all zeros, none, some, and empty ones."""
+    r = random.Random(4)
+    groups, lines = {}, []
+    for k in range(40):
+        n, own = r.choice([0, 1, 2, 7, 30]), 0
+        own = r.randint(0, n)
+        values = [r.choice([0.0, 0.25, r.random()]) for _ in range(own)]
+        groups[(f"g{k}",)] = values + [0.0] * (n - own)
+        lines += [(f"g{k}", v) for v in values]
+    totals = spark.createDataFrame([(k[0], len(v), p) for k, v in groups.items() for p in (0.5, 0.05)], "g string, n long, p double")
+    got = qu.zero_filled(spark.createDataFrame(lines, "g string, value double"), ["g"], totals)
+    assert_close(held_by(got, ["g"]), by_numpy(groups, (0.5, 0.05)))
+
+
+def test_quantiles_of_changed_bases(spark):
+    """Groups over bases of several scopes, some values moved: ties with the base, to its ends and back."""
+    r = random.Random(5)
+    bases = {s: [round(r.random(), 1) if r.random() < 0.6 else r.random() for _ in range(n)] for s, n in (("", 25), ("a", 8), ("b", 1), ("c", 40))}
+    groups, changes = {}, []
+    for k in range(90):
+        s = r.choice(list(bases))
+        own = list(bases[s])
+        for j in r.sample(range(len(own)), r.choice([0, 0, 1, len(own) // 2, len(own)])):
+            new = r.choice([0.0, 1.0, own[j], round(r.random(), 1), r.random(), min(1.0, own[j] + 0.05)])
+            changes += [(s, f"g{k}", own[j], -1), (s, f"g{k}", new, 1)]
+            own[j] = new
+        groups[(s, f"g{k}")] = own
+    totals = spark.createDataFrame([(*k, len(v), p) for k, v in groups.items() for p in (0.5, 0.05, 0.9)], "s string, g string, n long, p double")
+    base = spark.createDataFrame([(s, v) for s, b in bases.items() for v in b], "s string, value double")
+    got = qu.changed(base, ["s"], spark.createDataFrame(changes, "s string, g string, value double, weight int"), ["s", "g"], totals)
+    assert_close(held_by(got, ["s", "g"]), by_numpy(groups, (0.5, 0.05, 0.9)))
+
+
 def panel(spark, means, target):
     stats = spark.createDataFrame(means, "species_key string, mean_abundance double")
     return sorted(r.species_key for r in ab.select_panel(stats, target).where("selected").collect())
@@ -313,7 +375,7 @@ def test_coverage_golden(spark):
     zero = "panel_abundance double, panel_no_mapped_genomes_abundance double, panel_no_hq_genomes_abundance double, hq_species_abundance_before_membership_qc double, outside_panel_abundance double"
     qc = spark.createDataFrame([("1", 1.0, 0.0, 0.1, 0.9, 0.0), ("2", 1.0, 0.0, 1.0, 0.0, 0.0)], "sample_name string, " + zero)
     quality = co.sample_evaluability(shares, samples, qc, frame, check=True)
-    got = {r.sample_name: r for r in co.sample_coverage(shares, quality, frame).where("tier = 'exact'").collect()}
+    got = {r.sample_name: r for r in co.sample_coverage(co.coverage_sums(shares, frame), quality, frame).where("tier = 'exact'").collect()}
     one, two = got["1"], got["2"]
     want = (0.75, 0.75 / 0.9, 0.6, 0.85, 0.85, 0.9)
     assert all(math.isclose(one[m], w) for m, w in zip(co.MEASURES, want))
@@ -324,8 +386,42 @@ def test_quantile_and_project_medians(spark):
     frame = spark.createDataFrame([(v,) for v in (0.1, 0.2, 0.4, 0.9, None)], "x double")
     r = co.statistics(frame, ["x"]).first()
     assert math.isclose(r.p05, 0.115) and math.isclose(r["median"], 0.3)
-    cover = spark.createDataFrame([("p", "exact", "P1", 0.2), ("p", "exact", "P1", 0.4), ("p", "exact", "P2", 0.9), ("p", "exact", "", 0.0)], "peptide_id string, tier string, bioproject_id string, breadth_weighted_coverage double")
-    cover = cover.selectExpr("*", "breadth_weighted_coverage as missing_reference_lower", "breadth_weighted_coverage as missing_reference_upper")
-    projects = co.project_medians(cover)
-    assert sorted(round(r.median_coverage, 9) for r in projects.collect()) == [0.3, 0.9]
-    assert math.isclose(co.median_of_project_medians(projects).first()[2], 0.6)
+    projects = spark.createDataFrame([("p", "exact", 0.3), ("p", "exact", 0.9), ("q", "exact", None)], "peptide_id string, tier string, median_coverage double")
+    assert {r.peptide_id: round(r[2], 9) for r in co.median_of_project_medians(projects).collect()} == {"p": 0.6}
+
+
+def test_summaries_equal_those_of_the_full_grid(spark):
+    """Medians from the non-zeros against medians of every combination of peptide, sample and tier."""
+    import numpy as np
+
+    r = random.Random(12)
+    samples = [(f"s{k}", r.choice(["", "P1", "P1", "P2", "P3"]), r.choice([0.0, r.random(), 0.5]), r.choice([0.0, 1.0, r.random(), 0.25])) for k in range(41)]
+    peptides = [f"p{k}" for k in range(5)]
+    lines = []
+    for p in peptides[:4]:
+        for t in TIERS:
+            for name, _, _, _ in r.sample(samples, r.choice([0, 1, 5, 21, 41])):
+                c = r.choice([0.0, 0.3, r.random()])
+                lines.append((p, name, t, c, c * r.choice([0.0, 0.5, 1.0]), r.choice([0.0, c])))
+    sums = spark.createDataFrame(lines, "peptide_id string, sample_name string, tier string, c double, low double, broad double").where("c > 0 or low > 0 or broad > 0")
+    quality = spark.createDataFrame(samples, "sample_name string, bioproject_id string, evaluable_species_abundance double, unresolved_reference_weight double").withColumn("unevaluable_species_abundance", F.lit(0.0))
+    asked = spark.createDataFrame([(p,) for p in peptides], "peptide_id string")
+    found = co.summary_quantiles(sums, quality, asked).cache()
+    grid = co.sample_coverage(sums, quality, asked).toPandas()
+    middle = lambda v, q=0.5: float(np.quantile(v.dropna(), q)) if v.notna().any() else None
+    same = lambda x, y: (x is None and y is None) or math.isclose(x, y, abs_tol=1e-9)
+    tiers = {(x.peptide_id, x.tier): x for x in co.tier_medians(found).collect()}
+    assert len(tiers) == 5 * len(TIERS)
+    for key, own in grid.groupby(["peptide_id", "tier"]):
+        x = tiers[key]
+        assert same(x.median_coverage, middle(own.breadth_weighted_coverage)) and same(x.p05_coverage, middle(own.breadth_weighted_coverage, 0.05))
+        assert same(x.median_equal_rate_extrapolated_coverage, middle(own.equal_rate_extrapolated_coverage))
+        assert same(x.median_missing_reference_lower, middle(own.missing_reference_lower)) and same(x.median_missing_reference_upper, middle(own.missing_reference_upper))
+        assert same(x.median_thresholded_coverage, middle(own.broad_hq_thresholded_coverage))
+    projects = {(x.peptide_id, x.tier, x.bioproject_id): x for x in co.project_medians(found).collect()}
+    groups = dict(list(grid[grid.bioproject_id != ""].groupby(["peptide_id", "tier", "bioproject_id"])))
+    assert projects.keys() == groups.keys()
+    for key, own in groups.items():
+        x = projects[key]
+        assert x.n_samples == len(own) and same(x.median_coverage, middle(own.breadth_weighted_coverage))
+        assert same(x.median_missing_reference_lower, middle(own.missing_reference_lower)) and same(x.median_missing_reference_upper, middle(own.missing_reference_upper))
