@@ -131,29 +131,35 @@ def summary_quantiles(sums: DataFrame, quality: DataFrame, peptides: DataFrame)
     e, u = F.col("evaluable_species_abundance"), F.col("unresolved_reference_weight")
     samples = quality.select("sample_name", scope, e.alias("e"), u.alias("u"))
     sizes = samples.groupBy("scope").agg(F.count("*").alias("n_samples"), F.count_if(F.col("e") != 0).alias("n_evaluable"))
+    sizes = staged(sizes.withColumn("sid", F.monotonically_increasing_id()), "scopes")
+    samples = samples.join(sizes.select("scope", "sid"), "scope")
     tiers = F.explode(F.array(*[F.lit(t) for t in TIERS])).alias("tier")
-    groups = staged(peptides.select("peptide_id", tiers).crossJoin(sizes), "summary_groups")  # a row for each that a summary has
-    entries = staged(sums.join(samples, "sample_name"), "summary_entries")
+    # a row for each that a summary has; what follows is sorted by its number
+    groups = staged(peptides.select("peptide_id", tiers).crossJoin(sizes).withColumn("gid", F.monotonically_increasing_id() * 8), "summary_groups")
+    entries = staged(sums.join(samples, "sample_name").join(groups.select("peptide_id", "tier", "sid", "gid"), ["peptide_id", "tier", "sid"]), "summary_entries")
 
     everywhere = F.col("scope") == ""
-    row = lambda name, value: F.struct(F.lit(name).alias("measure"), value.alias("value"))
-    keys = ["scope", "peptide_id", "tier"]
-    values = entries.select(*keys, F.inline(F.array(
+    measures = ("coverage", "lower", "equal_rate", "broad")
+    row = lambda name, value: F.struct((F.col("gid") + measures.index(name)).alias("mid"), value.alias("value"))
+    values = entries.select(F.inline(F.array(
         row("coverage", F.col("c")), row("lower", F.col("low")), row("equal_rate", F.when(everywhere, clipped(share(F.col("c"), F.col("e"))))),
         row("broad", F.when(everywhere, F.col("broad"))),
     )))
-    asked = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(p).alias("p"), F.lit(every).alias("every")) for m, p, every in _ZERO_FILLED])
-    n = F.when(F.col("measure") == "equal_rate", F.col("n_evaluable")).otherwise(F.col("n_samples"))
-    totals = groups.select(*keys, "n_samples", "n_evaluable", F.inline(asked)).where(everywhere | F.col("every")).select(*keys, "measure", n.alias("n"), "p")
-    zero = zero_filled(values, [*keys, "measure"], totals)
-
-    base = samples.select("scope", clipped(F.col("u")).alias("value"))
-    moved = entries.where("low > 0").select(*keys, F.inline(F.array(
+    n = {m: F.col("n_evaluable") if m == "equal_rate" else F.col("n_samples") for m in measures}
+    asked = F.array(*[
+        F.struct((F.col("gid") + measures.index(m)).alias("mid"), F.lit(m).alias("measure"), n[m].alias("n"), F.lit(p).alias("p"), F.lit(every).alias("every"))
+        for m, p, every in _ZERO_FILLED
+    ])
+    totals = groups.select("gid", "scope", F.inline(asked)).where(everywhere | F.col("every"))
+    zero = zero_filled(values, ["mid"], totals.select("mid", "n", "p")).join(totals.select("mid", "p", "gid", "measure"), ["mid", "p"])
+
+    base = samples.select("sid", clipped(F.col("u")).alias("value"))
+    moved = entries.where("low > 0").select("sid", "gid", F.inline(F.array(
         F.struct(clipped(F.col("u")).alias("value"), F.lit(-1).alias("weight")), F.struct(clipped(F.col("low") + F.col("u")).alias("value"), F.lit(1).alias("weight")),
     )))
-    upper = changed(base, ["scope"], moved, keys, groups.select(*keys, F.col("n_samples").alias("n"), F.lit(0.5).alias("p")))
-    found = zero.select(*keys, "measure", "p", "value").unionAll(upper.select(*keys, F.lit("upper"), "p", "value"))
-    return groups.select(*keys, "n_samples").join(found, keys, "left")
+    upper = changed(base, ["sid"], moved, ["sid", "gid"], groups.select("sid", "gid", F.col("n_samples").alias("n"), F.lit(0.5).alias("p")))
+    found = zero.select("gid", "measure", "p", "value").unionAll(upper.select("gid", F.lit("upper"), "p", "value"))
+    return groups.select("gid", "scope", "peptide_id", "tier", "n_samples").join(found, "gid", "left").drop("gid")
 
 
 def _pivoted(found: DataFrame, keys: list[str], names: dict[str, tuple[str, float]]) -> DataFrame:
@@ -169,7 +175,7 @@ def project_medians(found: DataFrame) -> DataFrame:
 
 
 def median_of_project_medians(projects: DataFrame) -> DataFrame:
-    found = quantiles(projects.select("peptide_id", "tier", F.col("median_coverage").alias("value")), ["peptide_id", "tier"], [0.5])
+    found = quantiles(projects.select("peptide_id", "tier", F.col("median_coverage").alias("value")), ["peptide_id", "tier"], [0.5], many=True)
     return found.select("peptide_id", "tier", F.col("value").alias("median_of_bioproject_medians"))
 
 

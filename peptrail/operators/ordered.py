@@ -1,4 +1,4 @@
-"""Running sums over a whole table in an order, without gathering it in one task."""
+"""Places and running sums over a whole table in an order, without gathering it in one task."""
 
 from __future__ import annotations
 
@@ -15,6 +15,22 @@ from pyspark.sql.types import StructType
 from peptrail.plans.stages import staged
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in ``order``: its place in its range after all rows of the ranges before.
+
+    Rows that the order leaves equal stand in any order. All is done by Spark's own sort; the ranges are written once.
+    """
+    ranged = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("__id", 33)  # the number holds the partition above 33 bits, and the row below
+    sizes = sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for k, n in sizes:
+        starts.append((k, total - (k << 33)))
+        total += n
+    offset = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    return ranged.join(F.broadcast(offset), part == F.col("__part")).select(*df.columns, (F.col("__id") + F.col("__start")).alias(name))
+
+
 def running_sum(df: DataFrame, value: str, order: Sequence[Column], before: str, after: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows before a row (0 for the first) and up to it.
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptrail.operators.ordered import running_sum
+from peptrail.operators.ordered import numbered, running_sum
 from peptrail.plans.stages import staged
 
 
@@ -42,19 +42,34 @@ def at_ranks(values: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataF
 
     Ranks count from 0 and must exist; null values take no part.
     """
-    lines = values.where("value is not null").select(*keys, "value", F.lit(1.0).alias("__one"))
-    order = [F.asc(k) for k in keys] + [F.asc("value")]
-    ranked = running_sum(lines, "__one", order, "__index", "__next")
+    lines = values.where("value is not null").select(*keys, "value")
+    ranked = numbered(lines, [F.asc(k) for k in keys] + [F.asc("value")], "__index")
     starts = ranked.groupBy(*keys).agg(F.min("__index").alias("__start"))
     asked = wanted.join(starts, list(keys)).withColumn("__index", F.col("__start") + F.col("rank")).drop("__start")
     return asked.join(ranked.select("__index", "value"), "__index").drop("__index")
 
 
-def quantiles(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """``keys, p, value`` of each group of ``values(keys, value)``, interpolated between its ranks; nulls are left out."""
-    many = F.explode(F.array(*map(F.lit, probabilities))).alias("p")
-    totals = values.groupBy(*keys).agg(F.count("value").alias("n")).select("*", many)
-    return _met(at_ranks(values, keys, wanted_ranks(totals)), keys)
+def in_groups(values: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """``keys, p, weight, value`` at the wanted ranks, for many groups of which none is too long for one task to sort.
+
+    Each group is sorted where its rows meet, by the sort that spills, and only the wanted rows go on.
+    """
+    keys = list(keys)
+    asked = wanted.groupBy(*keys).agg(F.collect_list(F.struct("p", "rank", "weight")).alias("__asked"))  # two a quantile
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("value")) - 1
+    ranked = values.where("value is not null").select(*keys, "value").withColumn("__place", place)
+    here = F.inline(F.filter("__asked", lambda a: a["rank"] == F.col("__place")))
+    return ranked.join(asked, keys).select(*keys, "value", here).drop("rank")
+
+
+def quantiles(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float], many: bool = False) -> DataFrame:
+    """``keys, p, value`` of each group of ``values(keys, value)``, interpolated between its ranks; nulls are left out.
+
+    A few long groups are sorted together over all tasks; of ``many`` groups each is sorted in one.
+    """
+    every = F.explode(F.array(*map(F.lit, probabilities))).alias("p")
+    totals = values.groupBy(*keys).agg(F.count("value").alias("n")).select("*", every)
+    return _met((in_groups if many else at_ranks)(values, keys, wanted_ranks(totals)), keys)
 
 
 def zero_filled(values: DataFrame, keys: Sequence[str], totals: DataFrame) -> DataFrame:
@@ -66,7 +81,7 @@ def zero_filled(values: DataFrame, keys: Sequence[str], totals: DataFrame) -> Da
     n_own = own.groupBy(*keys).agg(F.count("*").alias("n_own"))
     zeros = F.col("n") - F.coalesce("n_own", F.lit(0))
     wanted = staged(wanted_ranks(totals).join(n_own, list(keys), "left").withColumn("rank", F.col("rank") - zeros), "wanted")
-    above = at_ranks(own, keys, wanted.where("rank >= 0"))
+    above = in_groups(own, keys, wanted.where("rank >= 0"))
     return _met(above.select(*keys, "p", "value", "weight").unionAll(wanted.where("rank < 0").select(*keys, "p", F.lit(0.0), "weight")), keys)
 
 
@@ -80,20 +95,20 @@ def changed(base: DataFrame, scope: Sequence[str], changes: DataFrame, keys: Seq
     value at that rank, or the base's value at (rank - S of the x before) lies below it.
     """
     scope, keys = list(scope), list(keys)
-    net = staged(changes.groupBy(*keys, "value").agg(F.sum("weight").alias("weight")).where("weight <> 0"), "changes")
-    points = net.select(*scope, "value").distinct().withColumn("__base", F.lit(0.0))
-    lines = points.unionByName(base.where("value is not null").select(*scope, "value", F.lit(1.0).alias("__base")))
-    order = [*[F.asc(k) for k in scope], F.asc("value"), F.asc("__base")]
-    ranked = running_sum(lines, "__base", order, "__below", "__upto")
+    own = base.where("value is not null").select(*scope, "value")
+    lines = changes.select(*keys, "value", "weight").withColumn("__base", F.lit(0)).unionByName(own.withColumn("__base", F.lit(1)), allowMissingColumns=True)
+    counted = running_sum(lines, "__base", [*[F.asc(k) for k in scope], F.asc("value"), F.asc("__base")], "__below", "__upto")
     # counts run over all scopes: those of one begin where it begins
-    starts = ranked.groupBy(*scope).agg(F.min("__below").alias("__start"))
-    placed = ranked.join(starts, scope).withColumn("__low", (F.col("__below") - F.col("__start")).cast("long"))
+    starts = counted.groupBy(*scope).agg(F.min("__below").alias("__start"))
+    placed = counted.join(starts, scope).withColumn("__low", (F.col("__below") - F.col("__start")).cast("long"))
     held = placed.where("__base = 1").select(*scope, "__low", "value")
-    at = held.groupBy(*scope, "value").agg(F.count("*").alias("__equal"))
-    known = placed.where("__base = 0").select(*scope, "value", "__low").join(at, [*scope, "value"], "left").fillna(0, ["__equal"])
+    at = own.groupBy(*scope, "value").agg(F.count("*").alias("__equal"))
+    moved = placed.where("__base = 0").join(at, [*scope, "value"], "left").fillna(0, ["__equal"])
+    # rows of a group meet once, for the sums by value and for those along the values
+    net = moved.repartition(*keys).groupBy(*keys, "value").agg(F.sum("weight").alias("weight"), F.first("__low").alias("__low"), F.first("__equal").alias("__equal"))
     order_in = Window.partitionBy(*keys).orderBy("value")
     steps = (
-        net.join(known, [*scope, "value"])
+        net.where("weight <> 0")
         .withColumn("__sum", F.sum("weight").over(order_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("__sum_before", F.col("__sum") - F.col("weight"))
         .withColumn("__reach", F.col("__low") + F.col("__equal") + F.col("__sum"))

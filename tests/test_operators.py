@@ -237,7 +237,8 @@ def test_quantiles_equal_numpy(spark):
     for g, v in lines:
         groups.setdefault((g,), []).extend([] if v is None else [v])
     df = spark.createDataFrame(lines, "g string, value double").repartition(5)
-    assert_close(held_by(qu.quantiles(df, ["g"], [0.5, 0.05, 1.0]), ["g"]), by_numpy(groups, [0.5, 0.05, 1.0]))
+    for many in (False, True):
+        assert_close(held_by(qu.quantiles(df, ["g"], [0.5, 0.05, 1.0], many), ["g"]), by_numpy(groups, [0.5, 0.05, 1.0]))
 
 
 def test_zero_filled_quantiles(spark):
