@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +40,6 @@ def inventory_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(lines: DataFrame) -> DataFrame:
-    return lines.where(F.trim("line") != "").select(F.md5("line").alias("line_id"), "line")
-
-
 def _tokens(line: Column) -> Column:
     """Pieces of a line between tabs, commas, semicolons and blanks."""
     return F.filter(F.split(line, "[\t,; ]+"), lambda t: t != "")
@@ -50,44 +51,84 @@ def _heads(line: Column) -> Column:
     return F.when(line.rlike("[,;]"), firsts).otherwise(F.array().cast("array<string>"))
 
 
-def representative_lines(lines: DataFrame, representatives: DataFrame) -> DataFrame:
-    """``protein_rep_id, line_id``: which lines name which wanted representatives.
+#: wanted names that go out to the tasks that read the membership (some megabytes); more are met by a join
+NAMES_SENT = 200_000
+
+
+def _naming(lines: DataFrame, names: list[str]) -> DataFrame:
+    """``line, found`` of the lines that hold one of the names, with the tokens that are names.
+
+    Where a name holds a separator, lines with separators are kept whatever they hold.
+    """
+    held = pa.array(names, pa.string())
+    odd = any("," in n or ";" in n for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line = batch.column(0)
+            tokens = pc.split_pattern_regex(line, "[\t,; ]+")
+            flat, owner = tokens.flatten(), pc.list_parent_indices(tokens).to_numpy()
+            hit = pc.is_in(flat, value_set=held)
+            many = np.bincount(owner[hit.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+            kept = many > 0
+            if odd:
+                kept |= pc.fill_null(pc.match_substring_regex(line, "[,;]"), False).to_numpy(zero_copy_only=False)
+            found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), flat.filter(hit))
+            yield pa.RecordBatch.from_arrays([line.filter(pa.array(kept)), found.filter(pa.array(kept))], ["line", "found"])
+
+    return lines.select("line").mapInArrow(run, "line string, found array<string>")
+
+
+def named_lines(lines: DataFrame, representatives: DataFrame, most_sent: int = NAMES_SENT) -> DataFrame:
+    """``line_id, protein_rep_ids, heads, aliases`` of the lines that may name a wanted representative; the lines' one read.
+
+    Up to ``most_sent`` wanted names are looked up where the lines are read, so that only lines that hold one, and
+    of their tokens only those, go on; with more names every token does. Each line is one row, so long lines take linear
+    space. Equal lines have one key.
+    """
+    wanted = staged(representatives.select("protein_rep_id").dropna().distinct(), "wanted")
+    names = [r[0] for r in wanted.limit(most_sent + 1).collect()]
+    filled, line = lines.where(F.trim("line") != ""), F.col("line")
+    kept = _naming(filled, sorted(names)) if len(names) <= most_sent else filled.select("line", _tokens(line).alias("found"))
+    known = F.array_distinct(F.filter(F.transform(_tokens(line), genome_alias), lambda a: a.isNotNull()))
+    return staged(kept.select(F.md5("line").alias("line_id"), F.col("found").alias("protein_rep_ids"), _heads(line).alias("heads"), known.alias("aliases")), "named_lines")
+
+
+def representative_lines(named: DataFrame, representatives: DataFrame) -> DataFrame:
+    """``protein_rep_id, line_id``: which of the ``named_lines`` name which wanted representatives.
 
     A token must equal the representative; only on lines without such a token may a field's first word,
-    separators included, be one. Only a line's key goes with its tokens, so a line of any length is
-    taken apart in linear space; equal lines have one key.
+    separators included, be one.
     """
     whole = lambda names, mark: F.transform(names, lambda t: F.struct(t.alias("protein_rep_id"), F.lit(mark).alias("whole")))
-    line = F.col("line")
-    named = _keyed(lines).select("line_id", F.inline(F.concat(whole(_tokens(line), 1), whole(_heads(line), 0))))
-    met = named.join(representatives.select("protein_rep_id").distinct(), "protein_rep_id", "left_semi")
+    found = named.select("line_id", F.inline(F.concat(whole(F.col("protein_rep_ids"), 1), whole(F.col("heads"), 0))))
+    met = found.join(representatives.select("protein_rep_id").distinct(), "protein_rep_id", "left_semi")
     best = F.max("whole").over(Window.partitionBy("line_id"))
     return met.withColumn("best", best).where("whole = best").select("protein_rep_id", "line_id").distinct()
 
 
-def rep_genome_pairs(lines: DataFrame, representatives: DataFrame, aliases: DataFrame, genomes: DataFrame) -> DataFrame:
-    """``protein_rep_id, genome_id``: wanted representatives with the selected genomes of their lines.
+def rep_genome_pairs(named: DataFrame, representatives: DataFrame, aliases: DataFrame, genomes: DataFrame) -> DataFrame:
+    """``protein_rep_id, genome_id``: wanted representatives with the selected genomes of their ``named_lines``.
 
-    Identifiers are taken from lines that name a representative, and made genomes, before they meet it.
+    Identifiers are made genomes before they meet the representatives of their line.
     """
-    wanted = staged(representative_lines(lines, representatives), "named_lines")
-    known = F.array_distinct(F.filter(F.transform(_tokens(F.col("line")), genome_alias), lambda a: a.isNotNull()))
-    on_lines = _keyed(lines).join(wanted.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.explode(known).alias("alias"))
+    wanted = staged(representative_lines(named, representatives), "wanted_lines")
+    on_lines = named.join(wanted.select("line_id").distinct(), "line_id", "left_semi").select("line_id", F.explode("aliases").alias("alias"))
     # a representative's own name may hold an identifier: it is a line of its own
     own = wanted.select("protein_rep_id", F.concat(F.lit("own "), "protein_rep_id").alias("line_id")).distinct()
-    named = on_lines.unionByName(own.select("line_id", genome_alias(F.col("protein_rep_id")).alias("alias")).where("alias is not null"))
-    found = resolved(named, aliases).join(genomes.select("genome_id"), "genome_id", "left_semi").select("line_id", "genome_id").distinct()
+    told = on_lines.unionByName(own.select("line_id", genome_alias(F.col("protein_rep_id")).alias("alias")).where("alias is not null"))
+    found = resolved(told, aliases).join(genomes.select("genome_id"), "genome_id", "left_semi").select("line_id", "genome_id").distinct()
     return wanted.unionByName(own).join(found, "line_id").select("protein_rep_id", "genome_id").distinct()
 
 
-def missing_representatives(lines: DataFrame, representatives: DataFrame) -> DataFrame:
-    """Wanted representatives that no line names; any makes a run's results unusable."""
-    seen = representative_lines(lines, representatives).select("protein_rep_id")
+def missing_representatives(named: DataFrame, representatives: DataFrame) -> DataFrame:
+    """Wanted representatives that none of the ``named_lines`` names; any makes a run's results unusable."""
+    seen = representative_lines(named, representatives).select("protein_rep_id")
     return representatives.select("protein_rep_id").distinct().join(seen, "protein_rep_id", "left_anti")
 
 
-def check_representatives(lines: DataFrame, representatives: DataFrame) -> None:
-    require_none(missing_representatives(lines, representatives), F.lit(True), "hit proteins are missing from the membership", show=20)
+def check_representatives(named: DataFrame, representatives: DataFrame) -> None:
+    require_none(missing_representatives(named, representatives), F.lit(True), "hit proteins are missing from the membership", show=20)
 
 
 def evaluable_genomes(genomes: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -66,35 +66,42 @@ class Scanner:
         self.codes = np.full((len(sequences), int(self.length.max(initial=0))), UNKNOWN, np.uint8)
         text = encoded("".join(sequences))
         self.codes[np.arange(self.codes.shape[1]) < self.length[:, None]] = text
+        #: residues that a peptide has, and those of each of its parts
+        self.inside = np.arange(self.codes.shape[1]) < self.length[:, None]
+        self.in_part = np.zeros((len(sequences), MAX_SUBSTITUTIONS + 1, self.codes.shape[1]), bool)
         seeds: dict[int, list[np.ndarray]] = {}
         for n in np.unique(self.length[self.length > 0]).tolist():
             some = np.flatnonzero(self.length == n)
             for part, (offset, size) in enumerate(parts(n)):
+                self.in_part[some, part, offset : offset + size] = True
                 own = some if held is None else some[held[some, part]]
                 own = own[(self.codes[own, offset : offset + size] != UNKNOWN).all(1)]
                 width = min(size, _TABLE)
                 key = self.codes[own, offset : offset + width].astype(np.int64) @ 20 ** np.arange(width - 1, -1, -1)
                 fixed = np.broadcast_to(np.array([[part], [offset], [size]], np.int64), (3, len(own)))
                 seeds.setdefault(width, []).append(np.vstack([key, own, fixed]))
-        #: by residues of the key: where each key's rows begin; peptide, part, offset and size of each row
+        #: by residues of the key: where each key's rows begin, which keys have any; peptide, part, offset and size of each row
         self.tables = {}
         for width, rows in seeds.items():
             rows = np.hstack(rows)
             key, *columns = rows[:, np.argsort(rows[0], kind="stable")]
-            self.tables[width] = np.searchsorted(key, np.arange(20**width + 1)).astype(np.int32), columns
+            bounds = np.searchsorted(key, np.arange(20**width + 1)).astype(np.int32)
+            self.tables[width] = bounds, bounds[1:] > bounds[:-1], columns
 
-    def proposals(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def proposals(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Peptides, parts and starts of windows inside one protein that hold that part whole, about ``at_once`` at a time."""
-        for size, (bounds, (peptide, part, offset, whole)) in self.tables.items():
+        bad = text == UNKNOWN
+        letters, odd = np.where(bad, 0, text).astype(np.int32), np.r_[0, np.cumsum(bad, dtype=np.int32)]
+        keys, width = np.zeros(len(text), np.int32), 0  # of the residues from each place on, longer from table to table
+        for size, (bounds, used, (peptide, part, offset, whole)) in sorted(self.tables.items()):
             n = len(text) - size + 1
             if n < 1:
-                continue
-            key, sound = np.zeros(n, np.int64), np.ones(n, bool)
-            for j in range(size):
-                letters = text[j : j + n]
-                sound &= letters != UNKNOWN
-                key = key * 20 + np.minimum(letters, 19)
-            places = np.flatnonzero(sound & (bounds[key + 1] > bounds[key]))
+                break
+            while width < size:
+                keys = keys[: len(text) - width] * 20 + letters[width:]
+                width += 1
+            places = np.flatnonzero(used[keys] & (odd[size:] == odd[:n]))
+            key = keys
             low, many = bounds[key[places]].astype(np.int64), (bounds[key[places] + 1] - bounds[key[places]]).astype(np.int64)
             upto, first = np.cumsum(many), 0
             while first < len(places):
@@ -124,30 +131,35 @@ class Scanner:
         text = np.full(int(size.sum() + len(size)), UNKNOWN, np.uint8)
         for a, code in zip(start.tolist(), codes, strict=True):
             text[a : a + len(code)] = code
-        found: list[pd.DataFrame] = []
-        for peptide, part, at in self.proposals(text, start, end):
-            for n in np.unique(self.length[peptide]).tolist():
-                some = np.flatnonzero(self.length[peptide] == n)
-                p, here = peptide[some], at[some]
-                window = text[here[:, None] + np.arange(n)]
-                differs = window != self.codes[p, :n]
-                whole = np.stack([~differs[:, offset : offset + width].any(1) for offset, width in parts(n)], 1)
-                odd = (window == UNKNOWN).any(1)
-                taken = (whole.argmax(1) == part[some]) & (odd | (differs.sum(1) <= MAX_SUBSTITUTIONS))
-                if taken.any():
-                    owner = np.searchsorted(end, here[taken], side="right")
-                    head = self._placed(p[taken], owner, here[taken] - start[owner], n, names, proteins)
-                    found.append(head.join(self._graded(p[taken], window[taken], differs[taken], odd[taken], cutoff)))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*HIT_COLUMNS, "ambiguous"])
-
-    def _placed(self, p: np.ndarray, owner: np.ndarray, first: np.ndarray, n: int, names: list[str], proteins: list[str]) -> pd.DataFrame:
-        shown = [proteins[k][a : a + n] for k, a in zip(owner.tolist(), first.tolist(), strict=True)]
-        named = [names[k] for k in owner.tolist()]
-        return pd.DataFrame(dict(zip(HIT_COLUMNS[:5], (self.ids[p], self.sequences[p], named, first + 1, shown), strict=True)))
-
-    def _graded(self, p: np.ndarray, window: np.ndarray, differs: np.ndarray, odd: np.ndarray, cutoff: int) -> pd.DataFrame:
-        """Grades of windows of one length; an ambiguous one has none."""
-        query = self.codes[p, : window.shape[1]]
+        padded = np.r_[text, np.full(self.codes.shape[1], UNKNOWN, np.uint8)]
+        found = [self._taken(peptide, part, at, padded) for peptide, part, at in self.proposals(text, start, end)]
+        p, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        if not len(p):
+            return pd.DataFrame(columns=[*HIT_COLUMNS, "ambiguous"])
+        owner = np.searchsorted(end, at, side="right")
+        first, n = at - start[owner], self.length[p]
+        shown = [proteins[k][a : a + long] for k, a, long in zip(owner.tolist(), first.tolist(), n.tolist(), strict=True)]
+        named = np.array(names, object)[owner]
+        head = dict(zip(HIT_COLUMNS[:5], (self.ids[p], self.sequences[p], named, first + 1, shown), strict=True))
+        return pd.DataFrame(head | self._graded(p, *self._compared(p, at, padded), cutoff))
+
+    def _compared(self, p: np.ndarray, at: np.ndarray, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows as wide as the longest peptide, where they differ within their own length, and which are ambiguous."""
+        window = padded[at[:, None] + np.arange(self.codes.shape[1])]
+        inside = self.inside[p]
+        return window, (window != self.codes[p]) & inside, ((window == UNKNOWN) & inside).any(1)
+
+    def _taken(self, p: np.ndarray, part: np.ndarray, at: np.ndarray, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Peptides and starts of the windows that count: close or ambiguous, and met by the first part that they hold whole."""
+        _, differs, odd = self._compared(p, at, padded)
+        near = np.flatnonzero(odd | (differs.sum(1) <= MAX_SUBSTITUTIONS))
+        whole = ~(differs[near, None, :] & self.in_part[p[near]]).any(2)
+        near = near[whole.argmax(1) == part[near]]
+        return p[near], at[near]
+
+    def _graded(self, p: np.ndarray, window: np.ndarray, differs: np.ndarray, odd: np.ndarray, cutoff: int) -> dict[str, object]:
+        """Grades of windows; an ambiguous one has none."""
+        query = self.codes[p]
         differs = differs & ~odd[:, None]
         gap = np.zeros(differs.shape, np.int16)
         gap[differs] = DISTANCE[query[differs], window[differs]]
@@ -159,13 +171,10 @@ class Scanner:
         for k in range(MAX_SUBSTITUTIONS):
             some = rank == k
             text[row[some]] = text[row[some]] + (";" if k else "") + one[some]
+        text[odd] = None
         pure = n_sub == close
         grades = (n_sub, close, n_sub - close, text, gap.max(1, initial=0), gap.sum(1), n_sub == 0, *((n_sub <= m) & pure for m in (1, 2, 3)), n_sub <= 1, n_sub <= 2)
-        out = pd.DataFrame({c: v if v.dtype == object else v.astype(np.int32) for c, v in zip(HIT_COLUMNS[5:], grades, strict=True)})
-        if odd.any():
-            out = out.astype({c: "Int32" for c in out.columns if c != "substitutions"})
-            out.loc[odd, :] = None
-        return out.assign(ambiguous=odd)
+        return {c: v if v is text else pd.arrays.IntegerArray(v.astype(np.int32), odd.copy()) for c, v in zip(HIT_COLUMNS[5:], grades, strict=True)} | {"ambiguous": odd}
 
 
 def _in_batches(scanner: Scanner, names: list[str], texts: list[str], cutoff: int, batch_residues: int) -> Iterator[pd.DataFrame]:

@@ -275,7 +275,7 @@ _add("hit_examples", _HIT + "n_substitutions:i max_grantham:i", """(select * fro
      lambda s, f: se.hit_examples(s.hits, 3))
 _add("rep_genome_pairs", "protein_rep_id:s genome_id:s", "pairs", lambda s, f: s.pairs)
 _add("missing_representatives", "protein_rep_id:s", "(select protein_rep_id from fx_proteins where protein_rep_id not in (select rep from fx_membership where rep like '%1'))",
-     lambda s, f: ca.missing_representatives(f.membership.where("rep like '%1'"), f.proteins))
+     lambda s, f: ca.missing_representatives(ca.named_lines(f.membership.where("rep like '%1'"), f.proteins), f.proteins))
 _add("genome_presence", "peptide_id:s genome_id:s species_key:s high_quality:s evaluable_hq:s " + _tier("{t}:i"), "presence", lambda s, f: s.presence)
 _add("species_evaluability", _COUNTS + " n_genomes_in_uhgp:i n_hq_genomes_in_uhgp:i hq_reference_representation_fraction:d hq_evaluable:s low_hq_reference_n:s", "species", lambda s, f: s.species)
 _add("species_breadth", "peptide_id:s species_key:s " + _tier("hit_genomes_all_{t}:i hit_genomes_hq_{t}:i breadth_all_{t}:d breadth_hq_{t}:d breadth_hq_all_references_{t}:d"), "breadth", lambda s, f: s.breadth)

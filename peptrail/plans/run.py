@@ -168,7 +168,8 @@ class Run:
             mf.give(folder, "scan", scan_inputs, ["scanned_windows", "search_qc.json"])
         hits = se.hits(self.table("scanned_windows"))
         representatives = hits.select("protein_rep_id").distinct()
-        missing = ca.missing_representatives(lines, representatives)
+        named = ca.named_lines(lines, representatives)
+        missing = ca.missing_representatives(named, representatives)
         n, lost = representatives.count(), missing.count()
         folder.write_json("membership_mapping_qc.json", {
             "hit_representatives_n": n, "hit_representatives_seen_n": n - lost, "missing_hit_representatives_n": lost,
@@ -176,7 +177,7 @@ class Run:
             "missing_hit_representative_examples": [r[0] for r in missing.orderBy("protein_rep_id").limit(20).collect()],
         })
         require(lost == 0, f"{lost} of {n} hit proteins are not in the membership; see membership_mapping_qc.json")
-        pairs = self._write(ca.rep_genome_pairs(lines, representatives, aliases, genomes), "hit_rep_to_selected_genome")
+        pairs = self._write(ca.rep_genome_pairs(named, representatives, aliases, genomes), "hit_rep_to_selected_genome")
         presence = self._write(ca.genome_presence(hits, pairs, genomes), "peptide_genome_tier_presence")
         species = self._write(ca.species_evaluability(self.table("selected_species"), genomes), "species_evaluability")
         self._write(ca.species_breadth(peptides, species, presence, s), "peptide_species_breadth")

@@ -109,7 +109,8 @@ class Study:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return ca.rep_genome_pairs(self.membership, self.hits.select("protein_rep_id"), self.aliases, self.evaluable)
+        found = self.hits.select("protein_rep_id")
+        return ca.rep_genome_pairs(ca.named_lines(self.membership, found), found, self.aliases, self.evaluable)
 
     @cached_property
     def presence(self) -> DataFrame:

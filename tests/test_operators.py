@@ -337,14 +337,14 @@ def test_membership_lines(spark):
     )
     aliases = la.alias_map(genomes)
     reps = spark.createDataFrame([("repA",), ("repB",), ("rep,C",), ("lost",)], "protein_rep_id string")
-    got = rows(ca.rep_genome_pairs(lines, reps, aliases, genomes))
+    got = rows(ca.rep_genome_pairs(ca.named_lines(lines, reps), reps, aliases, genomes))
     assert got == sorted([("repA", "MGYG000000001"), ("repA", "MGYG000000002.1"), ("repB", "MGYG000000002.1"), ("rep,C", "MGYG000000001")], key=repr)
     named = spark.createDataFrame([("MGYG000000002_7",)], "protein_rep_id string")  # its own name holds an identifier
     told = lines.unionAll(spark.createDataFrame([("MGYG000000002_7\tMGYG000000001_1",)], "line string"))
-    assert rows(ca.rep_genome_pairs(told, named, aliases, genomes)) == [("MGYG000000002_7", "MGYG000000001"), ("MGYG000000002_7", "MGYG000000002.1")]
-    assert rows(ca.missing_representatives(lines, reps)) == [("lost",)]
+    assert rows(ca.rep_genome_pairs(ca.named_lines(told, named), named, aliases, genomes)) == [("MGYG000000002_7", "MGYG000000001"), ("MGYG000000002_7", "MGYG000000002.1")]
+    assert rows(ca.missing_representatives(ca.named_lines(lines, reps), reps)) == [("lost",)]
     with pytest.raises(DataError):
-        ca.check_representatives(lines, reps)
+        ca.check_representatives(ca.named_lines(lines, reps), reps)
     assert rows(ca.unresolved_aliases(lines, aliases)) == [("MGYG999999999",)]
     assert rows(ca.membership_inventory(genomes, lines, aliases)) == [("MGYG000000001", True), ("MGYG000000002.1", True)]
 
@@ -354,10 +354,24 @@ def test_a_membership_line_of_many_tokens(spark):
     lines = spark.createDataFrame([(tokens,), ("r7\tMGYG000000003",)], "line string")
     genomes = spark.createDataFrame([(f"MGYG{i:09d}", "C", "", 95.0, 1.0) for i in range(40)], GENOMES)
     reps = spark.createDataFrame([("r7",), ("r49999",), ("no",)], "protein_rep_id string")
-    got = rows(ca.rep_genome_pairs(lines, reps, la.alias_map(genomes), genomes))
+    got = rows(ca.rep_genome_pairs(ca.named_lines(lines, reps), reps, la.alias_map(genomes), genomes))
     assert got == sorted(((r, f"MGYG{i:09d}") for r in ("r7", "r49999") for i in range(40)), key=repr)
 
 
+def test_lines_are_filtered_where_they_are_read(spark):
+    """Lines that name nothing wanted end where they are read; with many names wanted the join finds the same."""
+    lines = spark.createDataFrame([(f"P{k}\tMGYG{k:09d}_1,MGYG{k + 1:09d}",) for k in range(20_000)], "line string")
+    reps = spark.createDataFrame([(f"P{k}",) for k in range(0, 20_000, 100)] + [(None,)], "protein_rep_id string")
+    named = ca.named_lines(lines, reps)
+    assert rows(named.select("protein_rep_ids")) == sorted((([f"P{k}"],) for k in range(0, 20_000, 100)), key=repr)
+    assert {len(r.aliases) for r in named.collect()} == {2}
+    none = spark.createDataFrame([], "protein_rep_id string")
+    assert ca.named_lines(lines, none).count() == 0 and ca.missing_representatives(named, none).count() == 0
+    every = ca.named_lines(lines, reps, most_sent=10)  # more names than are sent: all lines go on to the join
+    assert every.count() == 20_000
+    assert rows(ca.representative_lines(every, reps)) == rows(ca.representative_lines(named, reps)) and named.count() == 200
+
+
 # -- coverage
 
 
