@@ -78,9 +78,22 @@ def mix(
     A source's rows are numbered in buckets of about 256 rows, or the root of its rows if that is more:
     counts of buckets are summed before the rows are, so a source that holds most rows is spread.
     """
-    placed = _placed(docs, weights, source, key, block_rows, temperature, most_blocks)
-    kept = [c for c in docs.columns if c not in PLACES]
-    return placed.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__{c}").alias(c) for c in PLACES])
+    held, apart = _apart(docs)
+    placed = _placed(held, weights, apart.get(source, source), apart.get(key, key), block_rows, temperature, most_blocks)
+    kept = [F.col(f"`{apart.get(c, c)}`").alias(c) for c in docs.columns if c not in PLACES]
+    return placed.select(*kept, *[F.col(f"__{c}").alias(c) for c in PLACES])
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that are named as helpers are under free names, and which names those are."""
+    apart: dict[str, str] = {}
+    for c in docs.columns:
+        if c.startswith("__mix_"):
+            free = f"kept {c}"
+            while free in docs.columns or free in apart.values():
+                free = f"kept {free}"
+            apart[c] = free
+    return docs.withColumnsRenamed(apart), apart
 
 
 def _placed(docs, weights, source, key, block_rows, temperature, most_blocks) -> DataFrame:
@@ -136,5 +149,7 @@ def _places_table(spark: SparkSession, names: list[str], buckets: list[int]) ->
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` in the order of the mix: partitions hold ranges of positions, each sorted."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _placed(docs, weights, source, key, BLOCK_ROWS, TEMPERATURE, MOST_BLOCKS)
-    return placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held, apart = _apart(docs)
+    placed = _placed(held, weights, apart.get(source, source), apart.get(key, key), BLOCK_ROWS, TEMPERATURE, MOST_BLOCKS)
+    ordered = placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position")
+    return ordered.select(*[F.col(f"`{apart.get(c, c)}`").alias(c) for c in docs.columns])

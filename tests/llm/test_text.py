@@ -361,6 +361,15 @@ def test_pfair_deviation_of_many_sources():
     deviation_is_under_a_block([r.random() ** 4 + 1e-6 for _ in range(5000)], [r.randint(1, 20) for _ in range(5000)])
 
 
+def test_mix_leaves_columns_named_as_its_helpers(spark):
+    names = ["doc_id", "source", "__mix_hash", "__mix_block", "__mix_name", "kept __mix_hash", "w"]
+    rows = [(k, f"s{k % 3}", f"h{k}", k * 2, "n", k, 0.5) for k in range(60)]
+    docs = spark.createDataFrame(rows, names)
+    for made in (mixing.mix(docs, block_rows=4), mixing.in_order(docs), mixing.mix(docs.withColumnRenamed("__mix_hash", "x").withColumnRenamed("source", "__mix_hash"), source="__mix_hash", block_rows=4)):
+        at = made.columns[: len(names)]
+        assert sorted(tuple(r[c] for c in at) for r in made.collect()) == sorted(rows) and at in (names, ["doc_id", "__mix_hash", "x", *names[3:]])
+
+
 def test_mix_keeps_all_rows(spark):
     rows = [(i, "big" if i % 3 else f"s{i % 11}") for i in range(3000)] + [(5000, None), (None, "big"), (5001, ""), (5001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
