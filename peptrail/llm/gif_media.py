@@ -113,8 +113,8 @@ def lzw_compress(samples: bytes, min_size: int = 8) -> bytes:
     return _packed(np.concatenate(codes), np.concatenate(widths))
 
 
-def _expanded(codes: np.ndarray, min_size: int) -> np.ndarray:
-    """Samples of the codes between two clear codes.
+def _expanded(codes: np.ndarray, min_size: int, most: int) -> np.ndarray:
+    """Samples of the codes between two clear codes; those after the code that reaches ``most`` samples are left out.
 
     A table entry is a code's entry and one sample more, so entries are chains of parents: their first
     samples and lengths come by doubling the steps, their samples from the last one back.
@@ -136,6 +136,8 @@ def _expanded(codes: np.ndarray, min_size: int) -> np.ndarray:
     sample[base:] = root[codes[1 : made + 1]]  # an entry's last sample is the first one of the code that follows
     size = steps[codes] + 1
     end = np.cumsum(size)
+    if end[-1] > most:
+        codes, end = (x[: int(np.searchsorted(end, most)) + 1] for x in (codes, end))
     out = np.empty(int(end[-1]), np.uint8)
     at, code = end - 1, codes
     while len(code):
@@ -163,7 +165,7 @@ def lzw_decode(data: bytes, min_size: int, n: int) -> np.ndarray:
             stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(stops[0]) if len(stops) else len(codes)
         if stop:
-            out.append(_expanded(codes[:stop], min_size))
+            out.append(_expanded(codes[:stop], min_size, n - made))
             made += len(out[-1])
         if not len(stops) or codes[stop] == clear + 1:
             break
@@ -198,7 +200,7 @@ def encode_gif(
     return b"".join([*out, b"\x3b"])
 
 
-def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+def decode_gif(data: bytes, most_pixels: int | None = MOST_PIXELS) -> Iterator[Frame]:
     """Composited frames of a GIF, with its palettes, interlacing, transparency and disposal applied.
 
     The canvas of a frame may be written to by the next one: copy what is to be kept. A file that is no
@@ -211,11 +213,11 @@ def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
         raise ValueError("a GIF that is cut") from e
 
 
-def _frames(data: bytes, most_pixels: int) -> Iterator[Frame]:
+def _frames(data: bytes, most_pixels: int | None) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, packed, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    if width * height > most_pixels:
+    if most_pixels is not None and width * height > most_pixels:
         raise ValueError("a GIF of too many pixels")
 
     def palette_at(at: int, packed: int) -> tuple[np.ndarray | None, int]:
@@ -245,7 +247,7 @@ def _frames(data: bytes, most_pixels: int) -> Iterator[Frame]:
         palette = table if own is None else own
         if palette is None:
             raise ValueError("a frame without a palette")
-        if w * h > most_pixels:
+        if most_pixels is not None and w * h > most_pixels:
             raise ValueError("a GIF of too many pixels")
         min_size, at, parts = data[at], at + 1, []
         while data[at]:
@@ -284,20 +286,21 @@ def histogram(frame: Frame, bins: int = 4) -> np.ndarray:
     return np.bincount(place.reshape(-1) if frame.opaque.all() else place[frame.opaque], minlength=bins**3)
 
 
-def timed_frames(media: bytes, bins: int = 4) -> list[tuple[int, int, list[int]]]:
+def timed_frames(media: bytes, bins: int = 4, most_pixels: int | None = MOST_PIXELS) -> list[tuple[int, int, list[int]]]:
     """When each frame of a GIF begins and how long it shows, in ms, and its colour histogram."""
     out, start = [], 0
-    for frame in decode_gif(media):
+    for frame in decode_gif(media, most_pixels):
         out.append((start, frame.delay_ms, histogram(frame, bins).tolist()))
         start += frame.delay_ms
     return out
 
 
-def frame_rows(media: DataFrame, key: str = "doc_id", column: str = "media", bins: int = 4) -> DataFrame:
+def frame_rows(media: DataFrame, key: str = "doc_id", column: str = "media", bins: int = 4, most_pixels: int | None = MOST_PIXELS) -> DataFrame:
     """``key, frame, start_ms, delay_ms, colours, error``: a row a frame of each GIF of ``media(key, column)``.
 
-    What is no sound GIF gives one row with its error and nulls; a null gives none; rows of one key keep
-    their frames each. No shuffle.
+    What is no sound GIF gives one row with its error and nulls, and so does one with a canvas or frame of over
+    ``most_pixels``, which guards a worker's memory: None takes any size. A null gives none; rows of one key keep
+    their frames each; an empty table gives no rows. No shuffle.
     """
     kind = media.schema[key].dataType.simpleString()
     names = [key, "frame", "start_ms", "delay_ms", "colours", "error"]
@@ -309,7 +312,7 @@ def frame_rows(media: DataFrame, key: str = "doc_id", column: str = "media", bin
                 if data is None:
                     continue
                 try:
-                    rows = [(k, *frame, None) for k, frame in enumerate(timed_frames(data, bins))]
+                    rows = [(k, *frame, None) for k, frame in enumerate(timed_frames(data, bins, most_pixels))]
                 except ValueError as e:
                     rows = [(None, None, None, None, str(e))]
                 number, start, delay, colours, error = zip(*rows, strict=True) if rows else ((),) * 5

@@ -270,3 +270,24 @@ def test_frames_of_foreign_files(spark):
     assert [sum(r.colours) for r in got if r.doc_id is None] == [6] * 4
     errors = {r.doc_id: r.error for r in got if r.error}
     assert set(errors) == {2, 3, 5, 6} and errors[3] == "not a GIF" and "cut" in errors[6] and "pixels" in errors[5]
+
+
+def test_gif_streams_far_longer_than_their_frame_take_little_memory(spark):
+    """A stream of millions of samples for a frame of few: what is not asked for is not made; and frames past the guard."""
+    import tracemalloc
+
+    from peptrail.llm import gif_media as gm
+
+    stream = gm.lzw_compress(bytes(20_000_000))
+    tracemalloc.start()
+    assert not gm.lzw_decode(stream, 8, 1_000).any()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * len(stream) + 4_000_000
+    for n in (0, 1, 254, 255, 256, 70_000):
+        data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+        for asked in {0, n // 2, n, n + 9}:
+            assert gm.lzw_decode(gm.lzw_compress(data.tobytes()), 8, asked).tobytes() == (data.tobytes() + bytes(9))[:asked]
+    media = spark.createDataFrame([(1, gm.encode_gif([np.zeros((40, 50), np.uint8)]))], "doc_id long, media binary")
+    assert gm.frame_rows(media, most_pixels=100).first().error and not gm.frame_rows(media, most_pixels=None).first().error
+    assert gm.frame_rows(media.limit(0)).count() == 0
