@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptrail.checks import require_none, require_unique
+from peptrail.checks import once, require_none, require_unique
 from peptrail.functions.text import RANKS, lineage_rank, share
 from peptrail.operators.ordered import running_sum
 
@@ -33,7 +33,7 @@ def bulk_prokaryotes(abundance: DataFrame, check: bool = False) -> DataFrame:
 def labelled(prokaryotes: DataFrame, labels: DataFrame) -> DataFrame:
     """``sample_name, species, relative_abundance``: summed over a species' genomes."""
     return (
-        prokaryotes.join(labels.select(F.col("genome_id").alias("genome"), "species"), "genome")
+        prokaryotes.join(once(labels.select(F.col("genome_id").alias("genome"), "species"), ["genome"], "the host taxonomy"), "genome")
         .groupBy("sample_name", "species")
         .agg(F.sum("relative_abundance").alias("relative_abundance"))
     )
@@ -78,7 +78,7 @@ def included_samples(shares: DataFrame, projects: DataFrame, fractions: DataFram
     """The samples with labelled abundance, their project and their labelled fraction."""
     return (
         shares.select("sample_name").distinct()
-        .join(projects.select("sample_name", "bioproject_id"), "sample_name", "left")
+        .join(once(projects.select("sample_name", "bioproject_id"), ["sample_name"], "the sample metadata"), "sample_name", "left")
         .join(fractions, "sample_name", "left")
         .withColumn("bioproject_id", F.coalesce("bioproject_id", F.lit("")))
     )
@@ -88,7 +88,7 @@ def species_stats(shares: DataFrame, samples: DataFrame) -> DataFrame:
     """Abundance, prevalence and projects by species; samples without a species count as 0 in its mean."""
     n, there = F.col("__samples"), F.col("abundance") > 0
     return (
-        shares.join(samples.select("sample_name", "bioproject_id"), "sample_name")
+        shares.join(once(samples.select("sample_name", "bioproject_id"), ["sample_name"], "the included samples"), "sample_name")
         .groupBy(F.col("species").alias("species_key"))
         .agg(
             F.sum("abundance").alias("abundance_sum"),

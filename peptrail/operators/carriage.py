@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peptrail.checks import require_none
+from peptrail.checks import once, require_none
 from peptrail.functions.text import all_aliases, genome_alias, share
 from peptrail.operators.labels import resolved
 from peptrail.plans.stages import staged
@@ -132,7 +132,8 @@ def check_representatives(named: DataFrame, representatives: DataFrame) -> None:
 
 
 def evaluable_genomes(genomes: DataFrame, inventory: DataFrame) -> DataFrame:
-    return genomes.join(inventory, "genome_id", "left").withColumn("evaluable_hq", F.col("high_quality") & F.col("in_uhgp_membership"))
+    known = once(inventory, ["genome_id"], "the inventory")
+    return once(genomes, ["genome_id"], "the selected genomes").join(known, "genome_id", "left").withColumn("evaluable_hq", F.col("high_quality") & F.col("in_uhgp_membership"))
 
 
 def genome_presence(hits: DataFrame, pairs: DataFrame, genomes: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def genome_presence(hits: DataFrame, pairs: DataFrame, genomes: DataFrame) -> Da
     by_protein = hits.groupBy("peptide_id", "protein_rep_id").agg(*[F.max(t).alias(t) for t in TIERS]).where(F.greatest(*TIERS) > 0)
     return (
         by_protein.join(pairs, "protein_rep_id")
-        .join(genomes.select("genome_id", "species_key", "high_quality", "evaluable_hq"), "genome_id")
+        .join(once(genomes.select("genome_id", "species_key", "high_quality", "evaluable_hq"), ["genome_id"], "the selected genomes"), "genome_id")
         .groupBy("peptide_id", "genome_id", "species_key", "high_quality", "evaluable_hq")
         .agg(*[F.max(t).alias(t) for t in TIERS])
     )
@@ -154,7 +155,7 @@ def species_evaluability(panel: DataFrame, genomes: DataFrame) -> DataFrame:
     )
     n = F.col("n_hq_genomes_in_uhgp")
     return (
-        panel.join(counts, "species_key", "left").fillna(0, ["n_genomes_in_uhgp", "n_hq_genomes_in_uhgp"])
+        once(panel, ["species_key"], "the panel").join(counts, "species_key", "left").fillna(0, ["n_genomes_in_uhgp", "n_hq_genomes_in_uhgp"])
         .withColumn("hq_reference_representation_fraction", share(n, F.col("n_uhgg_genomes_hq")))
         .withColumn("hq_evaluable", n > 0)
         .withColumn("low_hq_reference_n", n.between(1, 4))

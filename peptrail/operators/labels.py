@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peptrail.checks import once
 from peptrail.functions.text import version_stripped
 
 SOURCE = "UHGG"
@@ -32,7 +33,7 @@ def unique_bases(labels: DataFrame) -> DataFrame:
 def direct_labels(genomes: DataFrame, labels: DataFrame) -> DataFrame:
     """``genomes`` with the label of their id, else of their id without version (``species``, ``mapping_source``)."""
     return (
-        genomes.withColumn("genome_base", version_stripped(F.col("genome_id")))
+        once(genomes, ["genome_id"], "the genome metadata").withColumn("genome_base", version_stripped(F.col("genome_id")))
         .join(host_labels(labels).withColumnRenamed("species", "exact_species"), "genome_id", "left")
         .join(unique_bases(labels), "genome_base", "left")
         .withColumn("species", F.coalesce("exact_species", "base_species"))
@@ -103,7 +104,7 @@ def species_genome_counts(genomes: DataFrame, panel: DataFrame) -> DataFrame:
         *[v.alias(k) for k, v in by_source.items()],
     )
     zero = ["n_uhgg_genomes_all", "n_uhgg_genomes_hq", "n_uhgg_species_clusters", *by_source]
-    return panel.where("selected").join(counts, "species_key", "left").fillna(0, zero)
+    return once(panel.where("selected"), ["species_key"], "the panel").join(counts, "species_key", "left").fillna(0, zero)
 
 
 # -- aliases of genomes

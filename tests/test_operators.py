@@ -212,6 +212,33 @@ def test_running_sum_over_ranges(spark):
     assert running_sum(df.limit(0), "value", (F.asc("name"),), "before", "upto").count() == 0
 
 
+def test_joins_refuse_doubled_keys(spark):
+    """Each join that must not fan out fails where its key stands twice, as it is used and without a job of its own."""
+    twice = lambda df: df.unionAll(df)
+    prok = spark.createDataFrame([("s", "g", 1.0)], "sample_name string, genome string, relative_abundance double")
+    labels = spark.createDataFrame([("g", "UHGG", "A")], "genome_id string, data_source string, species string")
+    shares = spark.createDataFrame([("s", "A", 1.0, 1.0)], "sample_name string, species string, relative_abundance double, abundance double")
+    samples = spark.createDataFrame([("s", "P", 1)], "sample_name string, bioproject_id string, n_rows int")
+    fractions = spark.createDataFrame([("s", 0.5)], f"sample_name string, {co.LABELLED} double")
+    genomes = spark.createDataFrame([("g", "C", "", 95.0, 1.0)], GENOMES)
+    panel = spark.createDataFrame([("A", True)], "species_key string, selected boolean")
+    chosen = spark.createDataFrame([("g", "A", True, "C", 1.0, 1, "genome_exact")], "genome_id string, species_key string, high_quality boolean, species_rep string, mapping_purity double, n_cluster_overlap int, mapping_source string")
+    inventory = spark.createDataFrame([("g", True)], "genome_id string, in_uhgp_membership boolean")
+    hits = spark.createDataFrame([("p", "r", *[1] * 6)], "peptide_id string, protein_rep_id string, " + ", ".join(f"{t} int" for t in TIERS))
+    pairs = spark.createDataFrame([("r", "g")], "protein_rep_id string, genome_id string")
+    evaluable = ca.evaluable_genomes(chosen, inventory)
+    counts = la.species_genome_counts(chosen, panel)
+    joins = [
+        (lambda x: ab.labelled(prok, x), labels), (lambda x: ab.included_samples(shares, x, fractions), samples), (lambda x: ab.species_stats(shares, x), samples),
+        (lambda x: la.direct_labels(x, labels), genomes), (lambda x: la.species_genome_counts(chosen, x), panel), (lambda x: ca.evaluable_genomes(x, inventory), chosen),
+        (lambda x: ca.evaluable_genomes(chosen, x), inventory), (lambda x: ca.genome_presence(hits, pairs, x), evaluable), (lambda x: ca.species_evaluability(x, evaluable), counts),
+    ]
+    for join, side in joins:
+        assert join(side).count() == 1
+        with pytest.raises(Exception, match="more than once"):
+            join(twice(side)).collect()
+
+
 # -- quantiles
 
 
