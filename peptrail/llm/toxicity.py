@@ -86,12 +86,12 @@ class SubwordSoftmax:
         return (total[end] - total[end - count]) / np.maximum(count, 1)
 
     # -- training
-    def fit(self, texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 40, folds: int = 2) -> SubwordSoftmax:
+    def fit(self, texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 15, folds: int = 2) -> SubwordSoftmax:
         """Train on documents and their labels; without both classes nothing is learnt and scores are near 0.
 
         Models of the other folds judge each document, for a model is too sure of those that it has seen: the
-        passage length and number of rounds (0: the start) with the least loss on them are taken, and their
-        margins calibrate.
+        passage length and number of rounds, from 1 to ``rounds``, with the least loss on them are taken, and
+        their margins calibrate. Only ``rounds=0`` leaves the start as it is.
         """
         toxic = np.asarray(toxic, int)
         if not (0 < toxic.sum() < len(toxic)):
@@ -105,7 +105,7 @@ class SubwordSoftmax:
                     held = [t for t, f in zip(texts, fold, strict=True) if f == k]
                     for turn, margins in enumerate(self._rounds([t for t, f in zip(texts, fold, strict=True) if f != k], toxic[fold != k], rounds, steps)):
                         worst[turn, fold == k] = self._judging(*margins, held)
-                tried += [(self._calibrate(w, toxic), self.window, turn, w) for turn, w in enumerate(worst)]
+                tried += [(self._calibrate(w, toxic), self.window, turn, w) for turn, w in enumerate(worst) if turn or not rounds]
             _, self.window, rounds, worst = min(tried, key=lambda t: t[0])
             for self.margin, self.bias in self._rounds(texts, toxic, rounds, steps):
                 pass
