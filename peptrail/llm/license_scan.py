@@ -10,7 +10,7 @@ meets it. Everything runs as DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peptrail.llm.license_texts import FULL_TEXTS
@@ -106,28 +106,50 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
         with_marks(windows, "digest", "window").join(index, "mark").select("digest", "window", "license").distinct(), "licences", narrow=True
     )
     facts = notices.select("license", F.array_distinct("shingles").alias("shingles"), F.size("words").alias("n_words"))
-    asked = staged(
-        candidates.join(facts, "license").groupBy("digest").agg(F.collect_list(F.struct("license", "window", "n_words")).alias("asked")), "asked", narrow=True
-    )
-    n = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
-    if n * ASKED_BYTES <= BROADCAST_BYTES:  # counted: then no text is moved; else Spark sorts or filters by a Bloom filter
+    asked = candidates.select("digest").distinct()
+    if asked.count() * ASKED_BYTES <= BROADCAST_BYTES:  # counted: then no text is moved; else Spark sorts or filters by a Bloom filter
         asked = F.broadcast(asked)
-    # the stretch: a notice's length before the window and after its first word
-    near = lambda a: F.slice(F.col("all_words"), F.greatest(F.lit(1), a.window * STRIDE + 1 - a.n_words), 2 * a.n_words + STRIDE + SHINGLE)
-    stretches = (
-        texts.join(asked, "digest")
-        .select("doc_id", "digest", "asked", words_of(F.col("text")).alias("all_words"))
-        .select("doc_id", "digest", F.explode(F.transform("asked", lambda a: F.struct(a.license.alias("license"), a.window.alias("window"), near(a).alias("near")))).alias("a"))
-        .select("doc_id", "digest", "a.license", "a.window", F.array_distinct(shingles_of(F.col("a.near"))).alias("held"))
+    held = (
+        texts.join(asked, "digest", "left_semi")
+        .select("digest", words_of(F.col("text")).alias("words"))
+        .select("digest", F.posexplode(shingles_of(F.col("words"))).alias("at", "shingle"))
+        .join(facts.select("license", F.explode("shingles").alias("shingle")), "shingle")
+        .dropDuplicates(["digest", "license", "at"])  # texts that stand more than once
+        .join(candidates.select("digest", "license").distinct(), ["digest", "license"], "left_semi")
     )
-    judged = stretches.join(facts, "license").select(
-        "doc_id", "digest", "license", "window", (F.size(F.array_intersect("held", "shingles")) / F.size("shingles")).alias("share")
+    judged = (
+        _held_from(held, candidates, facts).withColumn("share", F.col("n_held") / F.col("n_shingles"))
+        .where(F.col("share") >= containment)
+        .groupBy("digest", "license").agg(F.max("share").alias("share"), F.min("window").alias("window"), F.count("*").alias("places"))
     )
     return (
-        judged.where(F.col("share") >= containment)
+        texts.select("doc_id", "digest").join(judged, "digest").dropDuplicates(["doc_id", "digest", "license"])
         .groupBy("doc_id", "license")
         .agg(
             F.round(F.max("share"), 6).alias("containment"), (F.min("window") * STRIDE).alias("first_word"),
-            F.count_distinct("digest", "window").alias("n_places"),
+            F.sum("places").alias("n_places"),
         )
     )
+
+
+def _held_from(held: DataFrame, candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """The candidates with ``n_held`` of a notice's ``n_shingles`` distinct shingles in the stretch around the window.
+
+    A stretch begins a notice's length before the window and takes twice that. A shingle at ``at`` is the
+    first of its kind in all stretches that begin after its last place before, and not so early that they
+    end before it: it adds one from there up to ``at``, so a running sum over where stretches begin
+    counts them for all windows of a text at once, in time linear in its shingles.
+    """
+    facts = facts.select("license", "n_words", F.size("shingles").alias("n_shingles"))
+    earlier = F.lag("at").over(Window.partitionBy("digest", "license", "shingle").orderBy("at"))
+    begins = F.greatest(F.lit(0), F.coalesce(earlier + 1, F.lit(0)), F.col("at") - 2 * F.col("n_words") - STRIDE)
+    turns = (
+        held.join(facts, "license").select("digest", "license", begins.alias("low"), "at")
+        .select("digest", "license", F.explode(F.array(F.struct(F.col("low"), F.lit(1).alias("step")), F.struct((F.col("at") + 1).alias("low"), F.lit(-1).alias("step")))).alias("turn"))
+        .select("digest", "license", "turn.low", "turn.step", F.lit(None).cast("int").alias("window"), F.lit(None).cast("int").alias("n_shingles"))
+    )
+    asked = candidates.join(facts, "license").select(
+        "digest", "license", F.greatest(F.lit(0), F.col("window") * STRIDE - F.col("n_words")).alias("low"), F.lit(0).alias("step"), "window", "n_shingles"
+    )
+    so_far = Window.partitionBy("digest", "license").orderBy("low").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return turns.unionByName(asked).withColumn("n_held", F.sum("step").over(so_far)).where("window is not null")
