@@ -22,7 +22,7 @@ from peptrail.plans.stages import staged
 from peptrail.settings import TIERS, Settings
 from peptrail.sinks import manifests as mf
 from peptrail.sinks.export import listed, write_tsv, write_workbook
-from peptrail.sinks.folders import Folder
+from peptrail.sinks.folders import Folder, find
 from peptrail.sources import fasta, tables
 
 
@@ -45,6 +45,7 @@ class Run:
     def __init__(self, spark: SparkSession, inputs: Inputs, outdir: str, settings: Settings = Settings(), reuse: bool = False):
         self.spark, self.inputs, self.settings, self.reuse = spark, inputs, settings, reuse
         self.folder = Folder(spark, outdir)
+        self._known: dict[tuple, dict] = {}
 
     # -- stage tables
     def _write(self, df: DataFrame, name: str, export: bool = True) -> DataFrame:
@@ -62,7 +63,12 @@ class Run:
         return fasta.read_peptides(self.spark, self.inputs.peptides, self.settings)
 
     def _identity(self, name: str, whole: bool = True) -> dict:
-        return mf.identity(self.spark, getattr(self.inputs, name), whole)
+        """An input's identity, taken once as long as its files keep their sizes and times."""
+        pattern = getattr(self.inputs, name)
+        key = (pattern, whole, tuple(find(self.spark, pattern)))
+        if key not in self._known:
+            self._known[key] = mf.identity(self.spark, pattern, whole)
+        return self._known[key]
 
     def _prepare_inputs(self) -> dict:
         names = ("peptides", "relative_abundance", "sample_metadata", "host_genomes_info", "uhgg_metadata")
@@ -82,7 +88,10 @@ class Run:
         }
 
     def standing(self) -> dict[str, bool]:
-        """Which finished stages a run with these inputs and settings would take over; a search joins anew in any case."""
+        """Which finished stages a run with these inputs and settings would take over.
+
+        The mapping of hits to genomes is not among them: what it needs is known once the scan is done.
+        """
         needs = {"prepare": self._prepare_inputs(), "inventory": self._inventory_inputs(), "scan": self._scan_inputs(self._peptides())}
         return {stage: mf.stands(self.folder, stage, needed) for stage, needed in needs.items()}
 
@@ -168,16 +177,22 @@ class Run:
             mf.give(folder, "scan", scan_inputs, ["scanned_windows", "search_qc.json"])
         hits = se.hits(self.table("scanned_windows"))
         representatives = hits.select("protein_rep_id").distinct()
-        named = ca.named_lines(lines, representatives)
-        missing = ca.missing_representatives(named, representatives)
-        n, lost = representatives.count(), missing.count()
-        folder.write_json("membership_mapping_qc.json", {
-            "hit_representatives_n": n, "hit_representatives_seen_n": n - lost, "missing_hit_representatives_n": lost,
-            "hit_representatives_seen_fraction": (n - lost) / n if n else None,
-            "missing_hit_representative_examples": [r[0] for r in missing.orderBy("protein_rep_id").limit(20).collect()],
-        })
-        require(lost == 0, f"{lost} of {n} hit proteins are not in the membership; see membership_mapping_qc.json")
-        pairs = self._write(ca.rep_genome_pairs(named, representatives, aliases, genomes), "hit_rep_to_selected_genome")
+        # the membership's pass for hits: taken over where the same proteins were hit and the same genomes selected
+        mapping_inputs = inventory_inputs | {"representatives": mf.table_digest(representatives), "genomes": mf.table_digest(genomes.select("genome_id"))}
+        if not (self.reuse and mf.stands(folder, "mapping", mapping_inputs)):
+            mf.tear(folder, "mapping")
+            named = ca.named_lines(lines, representatives)
+            missing = ca.missing_representatives(named, representatives)
+            n, lost = representatives.count(), missing.count()
+            folder.write_json("membership_mapping_qc.json", {
+                "hit_representatives_n": n, "hit_representatives_seen_n": n - lost, "missing_hit_representatives_n": lost,
+                "hit_representatives_seen_fraction": (n - lost) / n if n else None,
+                "missing_hit_representative_examples": [r[0] for r in missing.orderBy("protein_rep_id").limit(20).collect()],
+            })
+            require(lost == 0, f"{lost} of {n} hit proteins are not in the membership; see membership_mapping_qc.json")
+            self._write(ca.rep_genome_pairs(named, representatives, aliases, genomes), "hit_rep_to_selected_genome")
+            mf.give(folder, "mapping", mapping_inputs, ["hit_rep_to_selected_genome", "membership_mapping_qc.json"])
+        pairs = self.table("hit_rep_to_selected_genome")
         presence = self._write(ca.genome_presence(hits, pairs, genomes), "peptide_genome_tier_presence")
         species = self._write(ca.species_evaluability(self.table("selected_species"), genomes), "species_evaluability")
         self._write(ca.species_breadth(peptides, species, presence, s), "peptide_species_breadth")
