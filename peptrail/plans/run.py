@@ -236,9 +236,10 @@ class Run:
             b = F.col(f"breadth_hq_{t}")
             require_none(breadth, (b < 0) | (b > 1), "a breadth is outside [0, 1]")
         quality = self._write(co.sample_evaluability(shares, samples, self.table("preparation_sample_qc"), species, check=True), "sample_evaluability")
-        sums = staged(co.coverage_sums(shares, breadth), "sums")
-        coverage = self._write(co.sample_coverage(sums, quality, breadth), "peptide_sample_coverage")
-        found = staged(co.summary_quantiles(sums, quality, peptides), "summary")
+        members, patterns = co.patterns(breadth)
+        sums = co.pattern_sums(shares, quality, patterns)
+        coverage = self._write(co.coverage_measures(sums, members), "peptide_sample_coverage")
+        found = staged(co.pattern_quantiles(sums, quality, members), "summary")
         projects = self._write(co.project_medians(found), "bioproject_coverage")
         extended = self._write(co.extended_summary(peptides, found, projects, quality), "extended_summary")
         concise = self._write(co.concise_summary(extended), "concise_summary")

@@ -467,3 +467,35 @@ def test_summaries_equal_those_of_the_full_grid(spark):
         x = projects[key]
         assert x.n_samples == len(own) and same(x.median_coverage, middle(own.breadth_weighted_coverage))
         assert same(x.median_missing_reference_lower, middle(own.missing_reference_lower)) and same(x.median_missing_reference_upper, middle(own.missing_reference_upper))
+
+
+def test_equal_weights_are_one_product(spark):
+    """Peptides and tiers of equal weights are summed and ranked once; each still has its rows."""
+    import numpy as np
+
+    r = random.Random(31)
+    species = [f"g{k}" for k in range(7)]
+    part = {p: [r.choice([0.0, 0.5, 1.0]) for _ in species] for p in "ab"}
+    part |= {"c": part["a"], "d": [0.0] * len(species)}
+    lines = [(p, s, 0.5, *[x for _ in TIERS for x in (w, w >= 0.75)]) for p, own in part.items() for s, w in zip(species, own)]
+    kinds = "peptide_id string, species_key string, hq_reference_representation_fraction double, " + ", ".join(f"breadth_hq_{t} double, carrier_broad_hq_{t} boolean" for t in TIERS)
+    breadth = spark.createDataFrame(lines, kinds)
+    names = [f"s{k}" for k in range(1500)]  # more than one slice
+    amount = {n: [r.choice([0.0, r.random()]) for _ in species] for n in names}
+    shares = spark.createDataFrame([(n, s, a) for n, own in amount.items() for s, a in zip(species, own)], "sample_name string, species string, abundance double")
+    quality = spark.createDataFrame([(n, r.choice(["", "P", "Q"]), r.choice([0.0, 0.8]), 0.25, 0.2) for n in names], "sample_name string, bioproject_id string, "
+                                    "evaluable_species_abundance double, unresolved_reference_weight double, unevaluable_species_abundance double")
+    members, kept = co.patterns(breadth)
+    sums = co.pattern_sums(shares, quality, kept)
+    assert kept.count() == 2 and members.count() == 4 * len(TIERS) and sums.count() == 3 * len(names)
+    got = co.coverage_measures(sums, members).where("tier = 'cons_le2'").collect()
+    assert len(got) == 4 * len(names)
+    for x in got:
+        want = float(np.dot(part[x.peptide_id], amount[x.sample_name]))
+        assert math.isclose(x.breadth_weighted_coverage, want, abs_tol=1e-12) and math.isclose(x.missing_reference_lower, want / 2, abs_tol=1e-12)
+    found = {(x.peptide_id, x.scope, x.measure, x.p): x.value for x in co.pattern_quantiles(sums, quality, members).where("tier = 'exact'").collect()}
+    project = {q.sample_name: q.bioproject_id for q in quality.collect()}
+    for p in part:
+        for scope in ("", "P"):
+            own = [x.breadth_weighted_coverage for x in got if x.peptide_id == p and (not scope or project[x.sample_name] == scope)]
+            assert math.isclose(found[p, scope, "coverage", 0.5], float(np.median(own)), abs_tol=1e-12)
