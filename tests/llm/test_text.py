@@ -680,6 +680,15 @@ def test_one_seed_is_enough(docs_of):
     assert len(got) >= 0.8 * n
 
 
+def test_a_link_hides_no_other(docs_of):
+    r = random.Random(14)
+    passage = lines(r, 80)
+    changed = [w if k % 11 else f"q{k}" for k, w in enumerate(passage)]
+    rows = [(i, " ".join(lines(r, 40) + p + lines(r, 40))) for i, p in ((1, passage), (2, changed), (3, changed))]
+    got = {(x.doc_id, x.other_id) for x in substring.passages(docs_of(rows)).collect()}
+    assert got == {(2, 1), (3, 2)}  # what 2 is like, 3 is, for they are equal there; that they are equal was hidden by (3, 1)
+
+
 def test_rows_of_one_id(docs_of):
     r = random.Random(10)
     passage = " ".join(lines(r, 70))
