@@ -499,3 +499,20 @@ def test_equal_weights_are_one_product(spark):
         for scope in ("", "P"):
             own = [x.breadth_weighted_coverage for x in got if x.peptide_id == p and (not scope or project[x.sample_name] == scope)]
             assert math.isclose(found[p, scope, "coverage", 0.5], float(np.median(own)), abs_tol=1e-12)
+
+
+def test_pairs_of_direct_lines_are_those_of_the_join(spark, monkeypatch):
+    told = [
+        "P1\tMGYG000000001_00001", "  P2 ,;P1\tGUT_GENOME000002_1;MGYG000000001.1_7 ", "", " \t ", None, "P\u00e9\u4e2d\tMGYG000000002_1", "P3", "xP1 P1x\tMGYG000000002_4",
+        "\t".join(["P1", "P2"] * 40 + [f"MGYG{k:09d}_1" for k in range(1, 60)]), "MGYG000000002_9\tP4",
+    ]
+    lines = spark.createDataFrame([(x,) for x in told], "line string").coalesce(1)
+    reps = spark.createDataFrame([(x,) for x in ("P1", "P2", "P3", "P\u00e9\u4e2d", "MGYG000000002_9", "lost", None)], "protein_rep_id string")
+    genomes = spark.createDataFrame([(f"MGYG{k:09d}", f"GUT_GENOME{k:06d}") for k in range(1, 41)], "genome_id string, original_genome_id string")
+    found = {}
+    for fold in (16, 1, 0):
+        monkeypatch.setattr(ca, "_FOLD", fold)
+        named = ca.named_lines(lines, reps)
+        found[fold] = sorted(tuple(r) for r in ca.rep_genome_pairs(named, reps, la.alias_map(genomes), genomes).collect()), named.where("direct").count()
+    assert found[16][0] == found[1][0] == found[0][0] and len(found[0][0]) == 40 * 2 + 2
+    assert found[16][1] == 6 > found[1][1] > found[0][1]
