@@ -147,9 +147,8 @@ def _places_table(spark: SparkSession, names: list[str], buckets: list[int]) ->
 
 
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """``docs`` in the order of the mix: partitions hold ranges of positions, each sorted."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``docs`` in the order of the mix: partitions hold ranges of positions, each sorted; adaptive execution joins small ones."""
     held, apart = _apart(docs)
     placed = _placed(held, weights, apart.get(source, source), apart.get(key, key), BLOCK_ROWS, TEMPERATURE, MOST_BLOCKS)
-    ordered = placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position")
+    ordered = placed.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position")
     return ordered.select(*[F.col(f"`{apart.get(c, c)}`").alias(c) for c in docs.columns])

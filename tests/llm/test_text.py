@@ -399,6 +399,18 @@ def test_mix_leaves_columns_named_as_its_helpers(spark):
         assert sorted(tuple(r[c] for c in at) for r in made.collect()) == sorted(rows) and at in (names, ["doc_id", "__mix_hash", "x", *names[3:]])
 
 
+def test_a_small_mix_is_few_files_in_order(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 7}") for k in range(900)], "doc_id long, source string")
+    want = [(r.doc_id, r.source) for r in sorted(mixing.mix(docs).collect(), key=lambda r: r.mix_position)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = mixing.in_order(docs)
+        assert [tuple(r) for r in got.collect()] == want and got.rdd.getNumPartitions() < 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_mix_keeps_all_rows(spark):
     rows = [(i, "big" if i % 3 else f"s{i % 11}") for i in range(3000)] + [(5000, None), (None, "big"), (5001, ""), (5001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
