@@ -501,6 +501,31 @@ def test_equal_weights_are_one_product(spark):
             assert math.isclose(found[p, scope, "coverage", 0.5], float(np.median(own)), abs_tol=1e-12)
 
 
+def test_members_of_a_pattern_are_laid_out_after_its_measures(spark):
+    """Measures and their rounding belong to a pattern: its members, over one pack of them here, take them as they are."""
+    sums = spark.createDataFrame([(k, f"s{j}", "P", 0.9, 0.25, 0.1, (j + k) / 7, j / 9, 0.5) for k in (0, 1) for j in range(4)], co.SUMS)
+    members = spark.createDataFrame([(f"p{k}", t, int(k == 0)) for k in range(400) for t in TIERS], "peptide_id string, tier string, pattern long").coalesce(1)
+    found = co.coverage_measures(sums, members, 3)
+    assert "Generate inline" in found._jdf.queryExecution().executedPlan().toString()  # not a join that works them out for each member
+    plain = sums.join(members, "pattern").select("peptide_id", "sample_name", "tier", F.round("c", 3).alias("c"), F.round("low", 3).alias("low"))
+    assert rows(found.select("peptide_id", "sample_name", "tier", "breadth_weighted_coverage", "missing_reference_lower")) == rows(plain) and found.count() == 1600 * len(TIERS)
+
+
+def test_one_split_of_metadata_is_dealt(spark):
+    """A small file is one split, whose lineages and names one task would parse."""
+    from peptrail.plans.study import Study
+
+    host = spark.createDataFrame([(f"G{k}", "UHGG", f"d__Bacteria;g__X;s__X y{k % 9}") for k in range(400)], "genome_id string, data_source string, lineage_gtdb_r207_updated string").coalesce(1)
+    genomes = host.select("genome_id", F.concat(F.lit("O"), "genome_id").alias("original_genome_id"), F.lit("R").alias("species_rep"), F.lit(95.0).alias("completeness"), F.lit(1.0).alias("contamination"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join so few rows again
+    try:
+        study = Study(None, host, genomes, None, None, None, None)
+        assert len(study.labels.inputFiles()) > 1 and len(study.genome_rows.inputFiles()) > 1
+        assert rows(study.labels) == rows(ab.bacterial_labels(host)) and rows(study.aliases) == rows(la.alias_map(genomes))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_pairs_of_direct_lines_are_those_of_the_join(spark, monkeypatch):
     told = [
         "P1\tMGYG000000001_00001", "  P2 ,;P1\tGUT_GENOME000002_1;MGYG000000001.1_7 ", "", " \t ", None, "P\u00e9\u4e2d\tMGYG000000002_1", "P3", "xP1 P1x\tMGYG000000002_4",
