@@ -541,3 +541,25 @@ def test_pairs_of_direct_lines_are_those_of_the_join(spark, monkeypatch):
         found[fold] = sorted(tuple(r) for r in ca.rep_genome_pairs(named, reps, la.alias_map(genomes), genomes).collect()), named.where("direct").count()
     assert found[16][0] == found[1][0] == found[0][0] and len(found[0][0]) == 40 * 2 + 2
     assert found[16][1] == 6 > found[1][1] > found[0][1]
+
+
+def test_shares_and_fractions_come_from_one_pass(spark):
+    from peptrail.plans.study import Study
+
+    abundance = spark.createDataFrame(
+        [("a", "g1", 3.0), ("a", "g2", 1.0), ("a", "g2", 2.0), ("a", "none", 2.0), ("b", "none", 5.0), ("c", "g1", 0.0), ("c", "none", 1.0), ("d", "g1", None), ("d", "g2", 4.0), ("e", "g3", 1.0), (None, "g1", 1.0)],
+        "sample_name string, genome string, relative_abundance double",
+    ).selectExpr("sample_name", "'bulk' as sample_type", "'prok' as genome_type", "genome", "relative_abundance")
+    host = spark.createDataFrame(
+        [("g1", "UHGG", "d__Bacteria;s__X"), ("g2", "UHGG", "d__Bacteria;s__Y"), ("g3", "UHGG", "d__Bacteria;s__")], "genome_id string, data_source string, lineage_gtdb_r207_updated string"
+    )
+    samples = spark.createDataFrame([("a", "P"), ("d", "")], "sample_name string, bioproject_id string")
+    study = Study(abundance, host, None, samples, None, None, None)
+    old = ab.renormalised(ab.labelled(study.prokaryotes, study.labels))
+    old_fractions = ab.labelled_fraction(study.prokaryotes, study.labels)
+    old_included = ab.included_samples(old, ab.sample_projects(samples), old_fractions)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(study.shares) == rows(old) and study.shares.columns == old.columns
+    study.prokaryotes = study.fractions = None  # the abundance is not read again
+    assert rows(study.included) == rows(old_included) and study.included.columns == old_included.columns
+    assert {r[0]: r[2] for r in rows(study.included)}["a"] == 0.75
