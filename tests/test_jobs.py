@@ -15,6 +15,7 @@ from jobs.inputs import CONFIGS, config_of, pattern, place, relation
 from peptrail.checks import DataError
 from peptrail.operators import search as se
 from peptrail.plans import queries
+from peptrail.plans.stages import Scratch, scratch, shared_folder, staged
 
 DATA = "/root/testdata/sf0.001"
 SCANNED = ["peptide_id", "protein_rep_id", "protein_start_1based", "matched_sequence", "n_substitutions", "substitutions"]
@@ -147,6 +148,27 @@ def test_rank_by_hand_and_again(spark, tmp_path):
     assert gone not in {r.bioproject_id for r in rank_candidates.report(spark, out).collect()}
 
 
+def test_rank_leaves_no_stage_tables(spark, tmp_path, monkeypatch):
+    """A run's tables go with it, the large ones as soon as carriage is known; packed values are never a table."""
+    held, most, names, drop = Path(shared_folder(spark).removeprefix("file:")), [], set(), Scratch.drop
+
+    def seen(self, *but):
+        names.update(name for name, _ in self.made)
+        drop(self, *but)
+        most.append({name for name, _ in self.made})
+
+    monkeypatch.setattr(Scratch, "drop", seen)
+    before = {p.name for p in held.iterdir()}
+    rank_candidates.rank(spark, DATA, str(tmp_path / "out"), config_of(CONFIGS / "rank_candidates.json"))
+    assert {p.name for p in held.iterdir()} == before and most == [{"shares", "breadth", "quality"}, set()]
+    assert "named_lines" in names and "packed" not in names
+    with pytest.raises(ValueError), scratch(spark) as made:
+        staged(spark.range(3), "lost")
+        assert [p.name for p in held.iterdir() if p.name.startswith("lost-")] and made.made
+        raise ValueError
+    assert {p.name for p in held.iterdir()} == before
+
+
 def test_configs_are_checked(spark, tmp_path):
     config = config_of(CONFIGS / "rank_candidates.json")
     with pytest.raises(DataError, match="tiers"):
