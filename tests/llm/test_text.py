@@ -658,6 +658,66 @@ def covered(docs, rows, least=50):
     return want, want - got
 
 
+def changed_passages(r, pieces, n, rate, times, rows):
+    """Documents with a passage, its pieces in documents before, and a copy with changed words after: ids of the two."""
+    names = [f"w{k}x" for k in range(30000)]
+    some = lambda k: r.choices(names, k=k)
+    out = []
+    for _ in range(times):
+        own = some(n)
+        changed = list(own)
+        for k in r.sample(range(1, n - 1), int(rate * n)):
+            changed[k] = r.choice(names)
+        parts = [own[k : k + pieces] for k in range(0, n, pieces)]
+        for words in [*(some(20) + part + some(20) for part in parts), some(30) + own + some(30), some(30) + changed + some(30)]:
+            rows.append((len(rows) + 1, " ".join(words)))
+        out.append((len(rows), len(rows) - 1))
+    return out
+
+
+def test_changed_passages_whose_pieces_came_earlier(docs_of, monkeypatch):
+    """Each seed meets the document that holds the passage, not just the first one, which holds a piece of it."""
+    r, rows, cells = random.Random(7), [], {}
+    for pieces in (12, 30):
+        for n, rate in ((50, 0.06), (50, 0.15), (60, 0.1), (60, 0.15), (80, 0.18)):
+            cells[pieces, n, rate] = changed_passages(r, pieces, n, rate, 30, rows)
+    docs = docs_of(rows)
+    got = [tuple(x) for x in substring.passages(docs).collect()]
+    pairs = {x[:2] for x in got}
+    for cell, own in cells.items():
+        assert sum(p in pairs for p in own) >= 0.9 * len(own), cell
+    assert not pairs - {p for own in cells.values() for p in own}
+    # seeds that are dealt over several tasks give the same
+    monkeypatch.setattr(substring, "HOT", 2)
+    assert sorted(tuple(x) for x in substring.passages(docs).collect()) == sorted(got)
+
+
+def test_like_pairs_by_hand():
+    """Of all earlier occurrences among like words those stay whose agreeing words no other one has too."""
+    r = np.random.default_rng(3)
+    size = [1, 2, 5, 40, 90, 300]
+    key = np.repeat(np.arange(len(size)), size).astype(np.int64)
+    doc = np.concatenate([np.sort(r.integers(0, 60, n)) for n in size]).astype(np.int64)
+    base = r.integers(0, 16, (len(size), 32))
+    words = np.where(r.random((len(key), 32)) < 0.8, base[key], r.integers(0, 16, (len(key), 32)))
+    words[r.random(len(key)) < 0.3, 9:23] = 3
+    packed = [sum(words[:, h + j].astype(np.uint64) << np.uint64(4 * j) for j in range(16)) for h in (0, 16)]
+    x, y, mask = substring.like_pairs(key, doc, *packed, 16, at_once=50)
+    want = set()
+    for i in range(len(key)):
+        found = {}
+        for j in range(i):
+            same = words[i] == words[j]
+            if key[j] == key[i] and doc[j] < doc[i] and same.sum() >= substring.AGREE:
+                runs = set()
+                for half in (0, 16):
+                    row = [True, True, *same[half : half + 16].tolist()]  # the seed's own words agree
+                    runs |= {half + k + d - 2 for k in range(16) for d in range(3) if all(row[k : k + 3]) and k + d >= 2}
+                found.setdefault(frozenset(runs), j)
+        want |= {(i, j) for own, j in found.items() if not any(own < other for other in found)}
+    assert {(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)} == want
+
+
 def test_repeated_lines_are_passages(docs_of):
     r = random.Random(5)
     rows = []
