@@ -693,7 +693,7 @@ def test_changed_passages_whose_pieces_came_earlier(docs_of, monkeypatch):
 
 
 def test_like_pairs_by_hand():
-    """Of all earlier occurrences among like words those stay whose agreeing words no other one has too."""
+    """Of all earlier occurrences among like words those stay that have three agreeing words which no likelier one has."""
     r = np.random.default_rng(3)
     size = [1, 2, 5, 40, 90, 300]
     key = np.repeat(np.arange(len(size)), size).astype(np.int64)
@@ -705,7 +705,7 @@ def test_like_pairs_by_hand():
     x, y, mask = substring.like_pairs(key, doc, *packed, 16, at_once=50)
     want = set()
     for i in range(len(key)):
-        found = {}
+        found = []
         for j in range(i):
             same = words[i] == words[j]
             if key[j] == key[i] and doc[j] < doc[i] and same.sum() >= substring.AGREE:
@@ -713,8 +713,11 @@ def test_like_pairs_by_hand():
                 for half in (0, 16):
                     row = [True, True, *same[half : half + 16].tolist()]  # the seed's own words agree
                     runs |= {half + k + d - 2 for k in range(16) for d in range(3) if all(row[k : k + 3]) and k + d >= 2}
-                found.setdefault(frozenset(runs), j)
-        want |= {(i, j) for own, j in found.items() if not any(own < other for other in found)}
+                found.append((runs, j))
+        while found:
+            best = max(found, key=lambda f: (len(f[0]), -f[1]))[0]
+            want.add((i, min(j for own, j in found if len(best - own) < 3)))
+            found = [(own, j) for own, j in found if len(own - best) >= 3]
     assert {(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)} == want
 
 
